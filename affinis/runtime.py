@@ -59,7 +59,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def size_bound(df: DataFrame) -> int:
     """Catalyst's estimate of the output in bytes: an upper bound for filters and projections of a file scan."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()))
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_if(df: DataFrame, max_rows: int, max_bytes: int = 32 << 20) -> DataFrame:
