@@ -37,17 +37,14 @@ least as (select id, min(g) as g from reach group by id),
 final as (select id as document_id, g as group_id, count(*) over (partition by g) as members from least)
 """
 
-_SHINGLES = r"""
-with toks as (select item_id, regexp_extract_all(lower(text), '[a-z0-9]+') as t from document_items where text is not null),
-filled as (select * from toks where len(t) > 0),
-runs as (
-  select item_id, array_to_string(t[i:i + least(4, len(t) - 1)], ' ') as s
-  from (select item_id, t, unnest(range(1, greatest(len(t) - 4, 1) + 1)) as i from filled)),
-vals as (select distinct item_id, s from runs),
-sizes as (select item_id, count(*) as n from vals group by item_id),
-overlap as (select a.item_id as ia, b.item_id as ib, count(*) as o from vals a join vals b on a.s = b.s and a.item_id < b.item_id group by 1, 2),
-pairs as (select ia, ib from overlap join sizes x on x.item_id = ia join sizes y on y.item_id = ib where o >= 0.7 * (x.n + y.n - o) - 1e-9)
-"""
+_LEAKS = r"""
+with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as t from documents),
+e as (select eval_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as t from eval_items),
+n as (select eval_id, t, least(12, len(t)) as w from e where len(t) > 0),
+theirs as (select distinct eval_id, w, array_to_string(t[i:i + w - 1], ' ') as s from (select *, unnest(range(1, len(t) - w + 2)) as i from n)),
+sizes as (select distinct w from theirs),
+ours as (select distinct doc_id, w, array_to_string(t[i:i + w - 1], ' ') as s from (select *, unnest(range(1, len(t) - w + 2)) as i from d cross join sizes where len(t) >= w))
+select distinct doc_id, eval_id from ours join theirs using (w, s)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -67,5 +64,5 @@ select i.item_id, coalesce(length(text), 0)::bigint as n_chars, coalesce(spans,
 from document_items i left join per using (item_id)""",
         "p4_found": _LINKS + "select document_id, group_id from final where members > 1",
         "p4_record_groups": _LINKS + "select document_id, group_id, members from final",
-        "p6_found": _SHINGLES + "select ia as item_id_a, ib as item_id_b from pairs",
+        "p7_found": _LEAKS,
     }

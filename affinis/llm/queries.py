@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinis.llm import components, copies, near_duplicates, set_join, shared_spans
+from affinis.llm import components, copies, leakage, mixing, near_duplicates, set_join, shared_spans, subjects
 from affinis.runtime import table
 
 P1_THRESHOLD, P2_WIDTH, P4_SCORE, P6_THRESHOLD = 0.6, 240, 0.85, 0.7
@@ -54,6 +54,31 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(table(spark, d, "document_items"), threshold=P6_THRESHOLD)
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    leaks = leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leaks.where("edits = 0").select("doc_id", "eval_id")
+
+
+def p7_leak_report(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture_shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subjects_of(table(spark, d, "documents"), table(spark, d, "subject_samples"))
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.composition(table(spark, d, "documents"), table(spark, d, "subject_samples"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {k: v for k, v in globals().items() if k.startswith("p") and k[1:2].isdigit() and callable(v)}
     return dict(sorted(own.items(), key=lambda x: (int(x[0][1 : x[0].index("_")]), not x[0].endswith("_found"))))
