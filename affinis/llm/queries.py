@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinis.llm import components, copies, leakage, mixing, near_duplicates, set_join, shared_spans, subjects
+from affinis.llm import components, copies, leakage, mixing, near_duplicates, ocr_repair, set_join, shared_spans, subjects
 from affinis.runtime import table
 
 P1_THRESHOLD, P2_WIDTH, P4_SCORE, P6_THRESHOLD = 0.6, 240, 0.85, 0.7
@@ -29,6 +29,10 @@ def p2_shared_amounts(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_amounts(table(spark, d, "document_items"), "item_id", "text", P2_WIDTH)
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return ocr_repair.findings(table(spark, d, "pages"), table(spark, d, "images"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     groups = components.record_groups(table(spark, d, "similarity_results"), table(spark, d, "scan_documents"), P4_SCORE)
     return groups.where("members > 1").select("document_id", "group_id")
