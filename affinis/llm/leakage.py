@@ -168,18 +168,31 @@ def _meetings(h: np.ndarray, start: np.ndarray, ix: Index, bits: list[np.ndarray
                 lo = np.searchsorted(ix.keys[t], key[maybe], "left")
                 n = np.searchsorted(ix.keys[t], key[maybe], "right") - lo
                 if n.sum():
-                    starts.append(np.repeat(part[maybe], n))
-                    theirs.append(ix.order[t][np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())])
+                    s, o = np.repeat(part[maybe], n), ix.order[t][np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                    for g in range(0, len(s), SLICE):
+                        near = may_be_close(h[s[g : g + SLICE, None] + np.arange(ix.width)], ix.words[o[g : g + SLICE]], ix.edits)
+                        starts.append(s[g : g + SLICE][near])
+                        theirs.append(o[g : g + SLICE][near])
     if not starts:
         z = np.zeros(0, np.int64)
         return z, z, z
-    both = np.unique(np.stack([np.concatenate(starts), np.concatenate(theirs)], 1), axis=0)
-    s, o = both[:, 0], both[:, 1]
-    dist = np.concatenate([edit_distance(h[s[c : c + SLICE, None] + np.arange(ix.width)], ix.words[o[c : c + SLICE]]) for c in range(0, len(s), SLICE)])
+    pair = np.unique(np.concatenate(starts) * len(ix.words) + np.concatenate(theirs))
+    s, o = np.divmod(pair, len(ix.words))
+    dist = edit_distance(h[s[:, None] + np.arange(ix.width)], ix.words[o])
     ok = dist <= ix.edits
     return s[ok], o[ok], dist[ok]
 
 
+def may_be_close(a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
+    """Whether enough words of each row of a stand in the same row of b, at most `edits` places away: no close pair fails."""
+    n = a.shape[1]
+    found = a == b
+    for d in range(1, edits + 1):
+        found[:, d:] |= a[:, d:] == b[:, : n - d]
+        found[:, : n - d] |= a[:, : n - d] == b[:, d:]
+    return found.sum(1, dtype=np.int8) >= n - edits
+
+
 def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, list[str]]]:
     for pdf in batches:
         ids, texts, lo, held = pdf["ident"].to_numpy(), list(pdf["t"]), 0, 0
