@@ -22,8 +22,8 @@ def set_classes(records: DataFrame, ident: str, values: str) -> tuple[DataFrame,
 
     members: ident, cls. classes: cls, members, vals (the sorted set). Empty and null sets are in no class.
     """
-    sets = spread(records.select(ident, values)).select(F.col(ident), F.sort_array(squeezed(values)).alias("vals")).where("size(vals) > 0")
-    keyed = stage(sets.withColumn("k", F.sha2(F.array_join("vals", "\x1f"), 256)), "sets")
+    sets = spread(records.select(ident, values)).select(F.col(ident), F.sort_array(squeezed(values)).alias("vals"))
+    keyed = stage(sets.withColumn("k", F.sha2(F.array_join("vals", "\x1f"), 256)), "sets").where("size(vals) > 0")
     least = keyed.groupBy("k").agg(F.min(ident).alias("cls"), F.count(F.lit(1)).alias("members"))
     members = keyed.select("k", ident).join(least, "k").select(ident, "cls")
     classes = keyed.join(least, (keyed.k == least.k) & (keyed[ident] == least.cls)).select("cls", "members", "vals").dropDuplicates(["cls"])
