@@ -85,8 +85,8 @@ def minhash(c: Column, permutations: int = 128) -> Column:
 
 def estimated_similarity(a: Column, b: Column) -> Column:
     """Share of equal values over the shorter signature; 0.0 where either is null or empty."""
-    n = F.least(F.size(a), F.size(b))
-    same = F.size(F.filter(F.zip_with(F.slice(a, 1, F.greatest(n, F.lit(0))), F.slice(b, 1, F.greatest(n, F.lit(0))), lambda x, y: x == y), lambda x: x))
+    n = F.when(a.isNotNull() & b.isNotNull(), F.least(F.size(a), F.size(b))).otherwise(0)
+    same = F.size(F.filter(F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: x == y), lambda x: x))
     return F.when(n > 0, same / n).otherwise(F.lit(0.0))
 
 
