@@ -141,10 +141,10 @@ def mixture(docs: DataFrame, targets: DataFrame, ident: str = "doc_id", text: st
     """The mixed corpus: ident, source, copy_no (from 1), tokens, text, shuffled globally.
 
     A document's copies are drawn from a Poisson distribution with its source's rate, inverted at a hash of its ident
-    and the seed, and never exceed max_repeats. Documents of null or unnamed sources, and sources with no tokens, give
-    no rows. Rows land in a task by hash and are ordered within it by another hash, so equal seeds give equal corpora.
+    and the seed, and never exceed max_repeats. Documents without tokens (null or empty texts), and those of null or unnamed
+    sources, give no rows. Rows land in a task by hash and are ordered within it by another hash, so equal seeds give equal corpora.
     """
-    sized = stage(token_counts(docs.where(F.col(ident).isNotNull() & F.col("source").isNotNull()), ident, text, ["source"], folder, ranks), "tokens")
+    sized = stage(token_counts(docs.where(F.col(ident).isNotNull() & F.col("source").isNotNull()), ident, text, ["source"], folder, ranks), "tokens").where("tokens > 0")
     chosen = _chosen(sized, targets, ident, total, seed)
     copies = chosen.join(docs.select(ident, text), ident).withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -162,7 +162,7 @@ def _chosen(sized: DataFrame, targets: DataFrame, ident: str, total: float | Non
 
 def mixture_shares(docs: DataFrame, targets: DataFrame, ident: str = "doc_id", text: str = "text", total: float | None = None, seed: int = 3, folder: str = TOKENIZERS, ranks: str = RANKS) -> DataFrame:
     """For each target source: target_share, max_repeats, available and mixed tokens, documents, copies, actual_share."""
-    sized = stage(token_counts(docs.where(F.col(ident).isNotNull() & F.col("source").isNotNull()), ident, text, ["source"], folder, ranks), "tokens")
+    sized = stage(token_counts(docs.where(F.col(ident).isNotNull() & F.col("source").isNotNull()), ident, text, ["source"], folder, ranks), "tokens").where("tokens > 0")
     have = sized.groupBy("source").agg(F.sum("tokens").alias("available_tokens"))
     got = _chosen(sized, targets, ident, total, seed)
     got = got.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("copies").alias("copies"), F.max("copies").alias("most_repeats"), F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"))

@@ -197,8 +197,11 @@ def page_numbers(edges: DataFrame) -> DataFrame:
 
 
 def running_lines(edges: DataFrame, numbers: DataFrame) -> DataFrame:
-    """record_id, line_no of edge lines that stand on two pages of their file or more, apart from shapes and numbers."""
-    own = edges.where("rank < 2").join(numbers, ["record_id", "line_no"], "left_anti")
+    """record_id, line_no of first and last lines, page numbers aside, that stand on two pages of their file or more,
+    apart from shapes and numbers."""
+    rest = edges.join(numbers, ["record_id", "line_no"], "left_anti")
+    outer = rest.groupBy("record_id", "file", "page", "last").agg(F.min_by(F.struct("line_no", "line"), "rank").alias("l"))
+    own = outer.select("record_id", "file", "page", "l.line_no", "l.line")
     digits = r"(^|\s)[0-9lIO|o]*[0-9][0-9lIO|o]*(?=\s|$)|^[lIO|]{1,3}\s|\s[lIO|]{1,3}$"
     roman = r"(?i)^[ivxlcdm1|]{1,14}\s\s+|\s\s+[ivxlcdm1|]{1,14}$"
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("line", digits, " "), roman, " "), r"[\s\p{Punct}&&[^|]]+", "")
