@@ -84,3 +84,16 @@ def wants_recognition(source: Column, width: Column, height: Column) -> Column:
 def adds_text(recognised: Column, known: Column) -> Column:
     """Recognised text is added when longer than 15 characters and its first 30 are not in the known text."""
     return F.coalesce((F.length(recognised) > 15) & ~F.contains(F.coalesce(known, F.lit("")), F.substring(recognised, 1, 30)), F.lit(False))
+
+
+def similarity(sha_a: Column, sha_b: Column, dhash_a: Column, dhash_b: Column) -> Column:
+    """1 for equal bytes, else what the distance of the perceptual hashes gives."""
+    return F.when(F.coalesce(F.lower(sha_a) == F.lower(sha_b), F.lit(False)), 1.0).otherwise(distance_similarity(hamming(dhash_a, dhash_b)))
+
+
+def best_of(images_a: Column, images_b: Column, least: float = 0.50) -> Column:
+    """STRUCT<similarity, matches> of two arrays of STRUCT<imageId, sha256, dhash>: pairs at `least` or above, and the
+    highest similarity among them, 0 without any."""
+    pairs = F.flatten(F.transform(images_a, lambda x: F.transform(images_b, lambda y: F.struct(x.imageId.alias("imageAId"), y.imageId.alias("imageBId"), similarity(x.sha256, y.sha256, x.dhash, y.dhash).alias("similarity")))))
+    kept = F.filter(pairs, lambda p: p.similarity >= least)
+    return F.struct(F.coalesce(F.array_max(F.transform(kept, lambda p: p.similarity)), F.lit(0.0)).alias("similarity"), kept.alias("matches"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from affinis.config import DEFAULT
 from affinis.functions import code, hashing, images, passages, scoring, tables, text
 from affinis.operators import candidates as C
-from affinis.operators import image_pairs, results
+from affinis.operators import image_pairs, multimodal, results
 from affinis.plans import pipeline
 from affinis.runtime import spread, stage, table
 from affinis.sources import readers, sinks
@@ -172,6 +172,16 @@ def text_only_scores(s: SparkSession, d: str) -> DataFrame:
     return pipeline.scan(_docs(s, d), text_only=True).select("a", "b", "is_exact", "score", "percentage")
 
 
+def multimodal_scores(s: SparkSession, d: str) -> DataFrame:
+    """Candidate pairs of the latest delivered item of each document, with its images and code."""
+    items = table(s, d, "document_items").where("documentId is not null").groupBy("documentId").agg(F.max_by("text", "item_id").alias("text"))
+    f = stage(C.features(items, "documentId"), "features")
+    pairs = C.set_scores(C.candidates(f, "documentId"), f, "documentId").select("a", "b", F.when(F.col("is_exact"), 1.0).otherwise(F.col("jaccard")).alias("text_score"))
+    content = stage(multimodal.contents(table(s, d, "images"), items), "contents")
+    got = multimodal.compare(stage(pairs, "pairs"), content, "documentId")
+    return got.select("a", "b", "score", "percentage", "is_exact", "image_similarity", "code_similarity", "table_similarity")
+
+
 def fused_scores(s: SparkSession, d: str) -> DataFrame:
     """Stored scores fused with counts of evidence; the evidence's own similarity is taken as the stored score."""
     docs, pairs = _stored(s, d)
@@ -329,7 +339,7 @@ def upload_selection(s: SparkSession, d: str) -> DataFrame:
 _NAMES = (
     "tokenize_stats text_statistics normalized_hashes shingle_counts fnv_hashes html_escaped safe_filenames cell_values sentence_segments sentence_overlap boilerplate_flags "
     "minhash_signatures fingerprints lsh_candidates candidate_pairs candidate_stats jaccard_pairs containment_pairs minhash_estimates lsh_recall candidate_probability_curve ranked_pairs "
-    "matching_passages passage_coverage scan_scores text_only_scores fused_scores code_detection code_similarity table_similarity image_candidates image_copies ocr_gating scanned_files "
+    "matching_passages passage_coverage scan_scores text_only_scores multimodal_scores fused_scores code_detection code_similarity table_similarity image_candidates image_copies ocr_gating scanned_files "
     "latest_documents stored_results document_averages duplicate_files dashboard_page ranked_results filtered_pairs score_categories evidence_summary report_summary report_top_pairs "
     "document_similarities pair_lookup highlighted_passages history scan_progress scan_summary recent_scans stored_counts insert_if_absent upload_selection"
 )

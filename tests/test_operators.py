@@ -186,3 +186,17 @@ def test_queries_run_and_have_sql(spark, data):
     assert set(oracle.oracle_sql()) <= set(q)
     for name in ("tokenize_stats", "stored_results", "scan_summary"):
         assert q[name](spark, data).count() > 0
+
+
+def test_multimodal(spark):
+    from affinis.operators import multimodal as M
+
+    table = "array(struct(1 as tableIndex, 1 as rowCount, 2 as colCount, array(array('x', '9.80')) as rows))"
+    code = "array(struct('int f(int a) { for (int i = 0; i < a; i++) { if (a) return i; } while (a) break; }' as code, true as isFromOcr))"
+    img = "array(struct('i' as imageId, 'S' as sha256, '0f0f0f0f0f0f0f0f' as dhash))"
+    content = spark.sql(f"""select * from values ('a', null, 'Same text here', {img}, {table}, {code}), ('b', null, 'same  TEXT here', {img}, {table}, {code}), ('c', 'h', 'x', null, null, null), ('d', 'h', 'y', null, null, null), ('e', null, null, null, null, null),
+      ('f', null, 'same text HERE', null, null, null), ('g', null, 'same text here', null, null, null) as t(id, sha, text, images, tables, code)""")
+    pairs = spark.createDataFrame([("a", "b", 0.2), ("c", "d", 0.0), ("c", "e", None), ("f", "g", 0.1)], "a string, b string, text_score double")
+    got = {(r["a"], r["b"]): r for r in M.compare(pairs, content, "id").collect()}
+    assert got[("a", "b")]["score"] == 1.0 and got[("a", "b")]["image_similarity"] == 1.0 and len(got[("a", "b")]["table_matches"]) == 1
+    assert got[("c", "d")]["is_exact"] and got[("f", "g")]["is_exact"] and got[("c", "e")]["score"] == 0.0
