@@ -32,6 +32,8 @@ CONFUSED, EDIT, MOST = 0.25, 1.0, 0.8
 RATIO_SHORT, RATIO = 30, 4
 #: Lines from either end of a page that can be furniture.
 EDGE_LINES = 3
+#: Pages of a file that are put in order by one task.
+PAGE_BLOCK = 512
 
 # Every shape that confusions make alike becomes one spelling: similar letters one letter, wide letters their strokes.
 def _alike() -> tuple[str, str]:
@@ -274,6 +276,23 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["record_id", "line_no", "pos", "read", "rest", "begins", "prev", "next"])
 
 
+def _neighbours(outline: DataFrame) -> DataFrame:
+    """record_id, head, head of the next record of the file, and whether the record before breaks off inside a word.
+
+    A file is taken in blocks of pages, each sorted on its own, and the blocks' ends are tied together, so that a file
+    with a large share of all pages is no single task.
+    """
+    rows = outline.withColumn("block", F.floor(F.col("page") / PAGE_BLOCK).cast("int"))
+    at = F.struct("page", "record_id")
+    ends = rows.groupBy("file", "block").agg(F.min_by("head", at).alias("first_head"), F.max_by("open", at).alias("last_open"))
+    along = Window.partitionBy("file").orderBy("block")
+    ends = ends.select("file", "block", F.lead("first_head").over(along).alias("after"), F.lag("last_open").over(along).alias("before"))
+    order = Window.partitionBy("file", "block").orderBy("page", "record_id")
+    own = rows.select("record_id", "file", "block", "head", F.lead("head").over(order).alias("next"), F.lag("open").over(order).alias("prev"))
+    tied = own.join(ends, ["file", "block"])
+    return tied.select("record_id", "head", F.coalesce("next", "after").alias("next_head"), F.coalesce("prev", "before", F.lit(False)).alias("was_open"))
+
+
 @F.pandas_udf(T.DoubleType())
 def _cost(right: pd.Series, read: pd.Series) -> pd.Series:
     return pd.Series([misreading_cost(a, b) for a, b in zip(right, read)])
@@ -322,8 +341,7 @@ def findings(pages: DataFrame, images: DataFrame) -> DataFrame:
     drop = furniture.groupBy("record_id").agg(F.collect_set("line_no").alias("drop"))
     body = stage(recs.join(drop, "record_id", "left"), "ocr-body")
     outline = spread(body).mapInPandas(_outline, "record_id string, file string, page int, head string, open boolean")
-    order = Window.partitionBy("file").orderBy("page", "record_id")
-    turns = outline.select("record_id", F.lead("head").over(order).alias("next_head"), F.coalesce(F.lag("open").over(order), F.lit(False)).alias("was_open"), "head")
+    turns = _neighbours(stage(outline, "ocr-outline"))
     lower = F.regexp_replace("head", r"^[^\p{L}\p{N}|]+", "")
     joined = F.col("was_open") & (lower.rlike(r"^[\p{Ll}0-9|]") | (F.upper(lower) == lower))
     turns = turns.select("record_id", "next_head", joined.alias("joined"))

@@ -438,3 +438,10 @@ def test_queries_of_every_problem():
 
     q = list(queries.queries())
     assert {n.split("_")[0] for n in q} == {f"p{i}" for i in range(1, 10)} and set(oracle.oracle_sql()) <= set(q)
+
+
+def test_files_in_blocks_of_pages(spark, monkeypatch):
+    monkeypatch.setattr(ocr_repair, "PAGE_BLOCK", 2)
+    outline = spark.createDataFrame([(f"r{n}", "F", n, f"head{n}", n % 2 == 0) for n in (1, 2, 3, 7, 8, 9)] + [("s1", "G", 1, "g", True)], "record_id string, file string, page int, head string, open boolean")
+    got = {r["record_id"]: (r["next_head"], r["was_open"]) for r in ocr_repair._neighbours(outline).collect()}
+    assert got == {"r1": ("head2", False), "r2": ("head3", False), "r3": ("head7", True), "r7": ("head8", False), "r8": ("head9", False), "r9": (None, True), "s1": (None, False)}
