@@ -142,29 +142,35 @@ def mixture(docs: DataFrame, targets: DataFrame, ident: str = "doc_id", text: st
 
     A document's copies are drawn from a Poisson distribution with its source's rate, inverted at a hash of its ident
     and the seed, and never exceed max_repeats. Documents without tokens (null or empty texts), and those of null or unnamed
-    sources, give no rows. Rows land in a task by hash and are ordered within it by another hash, so equal seeds give equal corpora.
+    sources, give no rows; repeated rows of one ident are documents that draw alike. Rows land in a task by hash and are
+    ordered within it by another hash, so equal seeds give equal corpora.
     """
-    sized = stage(token_counts(docs.where(F.col(ident).isNotNull() & F.col("source").isNotNull()), ident, text, ["source"], folder, ranks), "tokens").where("tokens > 0")
-    chosen = _chosen(sized, targets, ident, total, seed)
-    copies = chosen.join(docs.select(ident, text), ident).withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    drawn = _drawn(_sized(docs, ident, text, [text], folder, ranks), targets, ident, total, seed)
+    mixed = drawn.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    mixed = copies.repartition(parts, F.xxhash64(ident, "copy_no", F.lit(seed + 1))).sortWithinPartitions(F.xxhash64(ident, "copy_no", F.lit(seed + 2)))
-    return mixed.select(ident, "source", "copy_no", "tokens", text)
+    spot = lambda k: F.xxhash64(ident, "copy_no", F.lit(seed + k))
+    return mixed.repartition(parts, spot(1)).sortWithinPartitions(spot(2), ident, "copy_no").select(ident, "source", "copy_no", "tokens", text)
 
 
-def _chosen(sized: DataFrame, targets: DataFrame, ident: str, total: float | None, seed: int) -> DataFrame:
-    sized_docs, plan = mixing_plan(sized, targets, ident, total, seed)
+def _sized(docs: DataFrame, ident: str, text: str, keep: list[str], folder: str, ranks: str) -> DataFrame:
+    """ident, source, tokens and the kept columns of documents with tokens and a source, staged."""
+    known = docs.where(F.col(ident).isNotNull() & F.col("source").isNotNull())
+    return stage(token_counts(known, ident, text, ["source", *keep], folder, ranks), "tokens").where("tokens > 0")
+
+
+def _drawn(sized: DataFrame, targets: DataFrame, ident: str, total: float | None, seed: int) -> DataFrame:
+    """Documents with their number of copies, those with none left out."""
+    docs, plan = mixing_plan(sized, targets, ident, total, seed)
     rates = sized.sparkSession.createDataFrame([(p["source"], p["rate"]) for p in plan], "source string, rate double")
     most = max((p["cap"] for p in plan), default=1)
-    drawn = sized_docs.join(broadcast_if(rates, 100_000), "source").withColumn("copies", poisson_copies(F.col("u"), F.col("rate"), F.col("cap"), most))
-    return drawn.where("copies > 0").select(ident, "source", "tokens", "copies")
+    return docs.join(broadcast_if(rates, 100_000), "source").withColumn("copies", poisson_copies(F.col("u"), F.col("rate"), F.col("cap"), most)).where("copies > 0")
 
 
 def mixture_shares(docs: DataFrame, targets: DataFrame, ident: str = "doc_id", text: str = "text", total: float | None = None, seed: int = 3, folder: str = TOKENIZERS, ranks: str = RANKS) -> DataFrame:
     """For each target source: target_share, max_repeats, available and mixed tokens, documents, copies, actual_share."""
-    sized = stage(token_counts(docs.where(F.col(ident).isNotNull() & F.col("source").isNotNull()), ident, text, ["source"], folder, ranks), "tokens").where("tokens > 0")
+    sized = _sized(docs, ident, text, [], folder, ranks)
     have = sized.groupBy("source").agg(F.sum("tokens").alias("available_tokens"))
-    got = _chosen(sized, targets, ident, total, seed)
+    got = _drawn(sized, targets, ident, total, seed)
     got = got.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("copies").alias("copies"), F.max("copies").alias("most_repeats"), F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"))
     whole = got.agg(F.coalesce(F.sum("mixed_tokens"), F.lit(0))).first()[0]
     goals = targets.where("source is not null").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))

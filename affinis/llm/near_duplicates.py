@@ -113,8 +113,9 @@ def content_classes(items: DataFrame, ident: str, text: str, width: int = 5) ->
     rows = spread(items.select(F.col(ident).alias("ident"), F.col(text).alias("t"))).where("t is not null and ident is not null")
     kind = dict(items.dtypes)[ident]
     keyed = stage(rows.mapInPandas(_set_rows(width), f"ident {kind}, k string, hashes array<bigint>"), "shingles")
-    least = keyed.groupBy("k").agg(F.min("ident").alias("cls"), F.count(F.lit(1)).alias("members"))
-    members = keyed.select("k", "ident").join(least, "k").select(F.col("ident").alias(ident), "cls")
+    own = keyed.select("k", "ident").distinct()
+    least = own.groupBy("k").agg(F.min("ident").alias("cls"), F.count(F.lit(1)).alias("members"))
+    members = own.join(least, "k").select(F.col("ident").alias(ident), "cls")
     classes = keyed.withColumnRenamed("ident", "cls").join(least, ["k", "cls"]).select("cls", "members", "hashes").dropDuplicates(["cls"])
     return stage(members, "nd-members"), stage(classes, "nd-classes")
 
@@ -161,13 +162,16 @@ def similar_content(classes: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_duplicate_pairs(items: DataFrame, ident: str = "item_id", text: str = "text", threshold: float = 0.8, width: int = 5) -> DataFrame:
-    """(<ident>_a, <ident>_b) for every two records of similarity >= threshold, copies included."""
+    """(<ident>_a, <ident>_b) for every two records of similarity >= threshold, copies included.
+
+    Null texts and texts without tokens are in no pair; a repeated row counts once.
+    """
     members, classes = content_classes(items, ident, text, width)
     found = similar_content(classes, threshold)
     same = bucket_pairs(members, ["cls"], ident).select(F.col(f"a_{ident}").alias(f"{ident}_a"), F.col(f"b_{ident}").alias(f"{ident}_b"))
     a = members.select(F.col("cls").alias("cls_a"), F.col(ident).alias("x"))
     b = members.select(F.col("cls").alias("cls_b"), F.col(ident).alias("y"))
-    cross = found.join(a, "cls_a").join(b, "cls_b").select(F.least("x", "y").alias(f"{ident}_a"), F.greatest("x", "y").alias(f"{ident}_b"))
+    cross = found.join(a, "cls_a").join(b, "cls_b").where("x <> y").select(F.least("x", "y").alias(f"{ident}_a"), F.greatest("x", "y").alias(f"{ident}_b"))
     return same.unionByName(cross)
 
 

@@ -34,6 +34,8 @@ RATIO_SHORT, RATIO = 30, 4
 EDGE_LINES = 3
 #: Pages of a file that are put in order by one task.
 PAGE_BLOCK = 512
+#: Words that a worker holds before it hands them on.
+BATCH_WORDS = 40_000
 
 # Every shape that confusions make alike becomes one spelling: similar letters one letter, wide letters their strokes.
 def _alike() -> tuple[str, str]:
@@ -243,6 +245,7 @@ _STOPS = (".", "?", "!")
 
 def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """record_id, line_no, pos, read, rest (second half of a broken word), start of a sentence, words before and after."""
+    names = ["record_id", "line_no", "pos", "read", "rest", "begins", "prev", "next"]
     for pdf in batches:
         rows = []
         for r, text, drop, after, joined in zip(pdf["record_id"], pdf["text"], pdf["drop"], pdf["next_head"], pdf["joined"]):
@@ -273,7 +276,10 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 prev = toks[i - 1][1].lower() if i and not toks[i - 1][2] else ""
                 nxt = toks[i + 1][1].lower() if i + 1 < len(toks) and not toks[i + 1][2] else ""
                 rows.append((r, no, i, read, rest, begins, prev, nxt))
-        yield pd.DataFrame(rows, columns=["record_id", "line_no", "pos", "read", "rest", "begins", "prev", "next"])
+            if len(rows) > BATCH_WORDS:
+                yield pd.DataFrame(rows, columns=names)
+                rows = []
+        yield pd.DataFrame(rows, columns=names)
 
 
 def _neighbours(outline: DataFrame) -> DataFrame:

@@ -24,8 +24,9 @@ def set_classes(records: DataFrame, ident: str, values: str) -> tuple[DataFrame,
     """
     sets = spread(records.select(ident, values)).select(F.col(ident), F.sort_array(squeezed(values)).alias("vals"))
     keyed = stage(sets.withColumn("k", F.sha2(F.array_join("vals", "\x1f"), 256)), "sets").where("size(vals) > 0")
-    least = keyed.groupBy("k").agg(F.min(ident).alias("cls"), F.count(F.lit(1)).alias("members"))
-    members = keyed.select("k", ident).join(least, "k").select(ident, "cls")
+    own = keyed.select("k", ident).distinct()
+    least = own.groupBy("k").agg(F.min(ident).alias("cls"), F.count(F.lit(1)).alias("members"))
+    members = own.join(least, "k").select(ident, "cls")
     classes = keyed.join(least, (keyed.k == least.k) & (keyed[ident] == least.cls)).select("cls", "members", "vals").dropDuplicates(["cls"])
     return stage(members, "set-members"), stage(classes, "set-classes")
 
@@ -90,14 +91,15 @@ def similar_classes(left: DataFrame, threshold: float, right: DataFrame | None =
 def similar_set_pairs(records: DataFrame, ident: str, values: str, threshold: float) -> DataFrame:
     """(<ident>_a, <ident>_b): every two records whose sets are similar, records with equal sets included.
 
-    Null idents and null, empty or all-blank sets are in no pair; ties and repeats inside a set do not matter.
+    Null idents and null, empty or all-blank sets are in no pair; ties and repeats inside a set do not matter. A repeated
+    row counts once; an ident with several sets is compared with each of them, never with itself.
     """
     members, classes = set_classes(records.where(F.col(ident).isNotNull()), ident, values)
     found = similar_classes(classes, threshold).select("cls_a", "cls_b")
     same = bucket_pairs(members, ["cls"], ident).select(F.col(f"a_{ident}").alias(f"{ident}_a"), F.col(f"b_{ident}").alias(f"{ident}_b"))
     a = members.select(F.col("cls").alias("cls_a"), F.col(ident).alias("x"))
     b = members.select(F.col("cls").alias("cls_b"), F.col(ident).alias("y"))
-    cross = found.join(a, "cls_a").join(b, "cls_b").select(F.least("x", "y").alias(f"{ident}_a"), F.greatest("x", "y").alias(f"{ident}_b"))
+    cross = found.join(a, "cls_a").join(b, "cls_b").where("x <> y").select(F.least("x", "y").alias(f"{ident}_a"), F.greatest("x", "y").alias(f"{ident}_b"))
     return same.unionByName(cross)
 
 

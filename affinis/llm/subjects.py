@@ -218,7 +218,7 @@ def subject_counts(docs: DataFrame, samples: DataFrame, ident: str = "doc_id", t
 
 def subjects_of(docs: DataFrame, samples: DataFrame, ident: str = "doc_id", text: str = "text", least: float = 0.25) -> DataFrame:
     """(ident, subject) where at least a quarter of the document's sentences are about the subject."""
-    return subject_counts(docs, samples, ident, text).where(F.col("about") >= F.col("sentences") * F.lit(least) - 1e-9).where("about > 0").select(ident, "subject")
+    return subject_counts(docs, samples, ident, text).where(F.col("about") >= F.col("sentences") * F.lit(least) - 1e-9).where("about > 0").select(ident, "subject").distinct()
 
 
 def composition(docs: DataFrame, samples: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:

@@ -40,9 +40,11 @@ def test_set_pairs(spark, threshold):
         vals = [rng.choice(WORDS[:18]) for _ in range(rng.randrange(1, 10))]
         data.append((i, [rng.choice((v, v.upper(), f"  {v} ", None, "")) for v in vals] + [None, " "]))
     data += [(100, None), (101, []), (102, [None, " "]), (103, data[0][1]), (None, ["a"])]
+    data.append(data[1])
     df = spark.createDataFrame(data, "request_id long, shingles array<string>").withColumn("vals", F.lit(1)).withColumn("cls", F.lit(2)).withColumn("k", F.lit(3))
     want = set_brute({i: tidy_set(v) for i, v in data if i is not None}, threshold)
-    assert rows(set_join.similar_set_pairs(df, "request_id", "shingles", threshold)) == want
+    found = set_join.similar_set_pairs(df, "request_id", "shingles", threshold)
+    assert rows(found) == want and found.count() == len(want)
     links = Counter(x for p in want for x in p)
     got = {r["request_id"]: r["links"] for r in set_join.set_link_counts(df, "request_id", "shingles", threshold).collect()}
     assert got == {i: links[i] for i, v in data if i is not None and tidy_set(v)}
@@ -255,7 +257,7 @@ def near_texts():
 
 def test_near_duplicates(spark):
     texts = near_texts()
-    df = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").withColumn("cls", F.lit(1)).withColumn("n", F.lit(1))
+    df = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "item_id long, text string").withColumn("cls", F.lit(1)).withColumn("n", F.lit(1))
     want = set_brute({i: shingle_set(t) for i, t in enumerate(texts)}, 0.7)
     assert rows(near_duplicates.near_duplicate_pairs(df, threshold=0.7)) == want
     got = {r["item_id"]: r for r in near_duplicates.near_duplicate_groups(df, threshold=0.7).collect()}
