@@ -31,10 +31,10 @@ def stored_documents(documents: DataFrame) -> DataFrame:
 def stored_pairs(results: DataFrame) -> DataFrame:
     """The first write of each (scan, a, b): scan_id, a, b, name_a, name_b, score, n_passages, n_images, n_code, n_tables.
 
-    Pairs with a missing id are left out; score may be null. Of rows written at one time the highest score stands.
+    Of the passages only one leaf is read, to count them. Pairs with a missing id are left out; score may be null. Of rows written at one time the highest score stands.
     """
     n = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
-    row = F.struct(score01(F.col("similarityScore")).alias("score"), F.col("fileName1").alias("name_a"), F.col("fileName2").alias("name_b"), n("matchingPassages").alias("n_passages"), n("evidence.images").alias("n_images"), n("evidence.code").alias("n_code"), n("evidence.tables").alias("n_tables"), "createdAt")
+    row = F.struct(score01(F.col("similarityScore")).alias("score"), F.col("fileName1").alias("name_a"), F.col("fileName2").alias("name_b"), n("matchingPassages.similarity").alias("n_passages"), n("evidence.images").alias("n_images"), n("evidence.code").alias("n_code"), n("evidence.tables").alias("n_tables"), "createdAt")
     rows = results.select(tidy("scanId").alias("scan_id"), tidy("documentAId").alias("a"), tidy("documentBId").alias("b"), row.alias("r")).where("scan_id is not null and a is not null and b is not null")
     rank = F.struct(F.col("r.createdAt"), -F.coalesce("r.score", F.lit(-1.0)), F.coalesce("r.name_a", F.lit("")), F.coalesce("r.name_b", F.lit("")), "r.n_passages", "r.n_images", "r.n_code", "r.n_tables")
     first = rows.groupBy("scan_id", "a", "b").agg(F.min_by("r", rank).alias("r"))

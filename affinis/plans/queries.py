@@ -35,6 +35,12 @@ def _stored(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return results.stored_documents(table(s, d, "scan_documents")), results.stored_pairs(table(s, d, "similarity_results"))
 
 
+def _kept(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The stored records staged, for queries that read them several times."""
+    docs, pairs = _stored(s, d)
+    return stage(docs, "stored-documents"), stage(pairs, "stored-pairs")
+
+
 # ---- text
 
 
@@ -247,16 +253,16 @@ def stored_results(s: SparkSession, d: str) -> DataFrame:
 
 
 def document_averages(s: SparkSession, d: str) -> DataFrame:
-    return results.document_averages(*_stored(s, d))
+    return results.document_averages(*_kept(s, d))
 
 
 def duplicate_files(s: SparkSession, d: str) -> DataFrame:
-    return results.duplicate_files(*_stored(s, d))
+    return results.duplicate_files(*_kept(s, d))
 
 
 def dashboard_page(s: SparkSession, d: str) -> DataFrame:
     """The first page of every scan's dashboard, names in locale order."""
-    rows = results.page(results.document_averages(*_stored(s, d)), results.dashboard_order("avg_desc"), 1, 24)
+    rows = results.page(results.document_averages(*_kept(s, d)), results.dashboard_order("avg_desc"), 1, 24)
     return rows.select("scan_id", "rank", "doc_id", "filename", "average", "comparisons", "class", "total_rows", "total_pages")
 
 
@@ -281,7 +287,7 @@ def evidence_summary(s: SparkSession, d: str) -> DataFrame:
 
 
 def report_summary(s: SparkSession, d: str) -> DataFrame:
-    return results.report_summary(results.document_averages(*_stored(s, d)))
+    return results.report_summary(results.document_averages(*_kept(s, d)))
 
 
 def report_top_pairs(s: SparkSession, d: str) -> DataFrame:

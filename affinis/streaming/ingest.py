@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from affinis.config import DEFAULT, SimilarityConfig
+from affinis.functions.hashing import EMPTY
 from affinis.operators import candidates as C
 from affinis.sources.sinks import insert_if_absent
 
@@ -27,12 +28,17 @@ def compare_new(fresh: DataFrame, known: DataFrame, config: SimilarityConfig = D
     """(documentAId, documentBId, similarityScore) of candidate pairs with a new document, a before b.
 
     fresh and known: documentId, sha, norm_hash, shingles, sig. Only pairs that touch a new document are generated: the
-    buckets of new documents meet those of all. Equal hashes score 1.
+    buckets of new documents meet those of all. Of documents with equal signatures one, an earlier one if there is any,
+    stands for all, and new ones are tied to it. Equal hashes score 1.
     """
-    every = fresh.unionByName(known.join(fresh.select("documentId"), "documentId", "left_anti"))
-    new = C.band_rows(fresh.select("documentId", "sig"), "documentId", config).withColumnRenamed("documentId", "x")
-    old = C.band_rows(every.select("documentId", "sig"), "documentId", config).withColumnRenamed("documentId", "y")
-    near = new.join(old, ["band", "key"]).where("x <> y").select("x", "y")
+    old = known.join(fresh.select("documentId"), "documentId", "left_anti")
+    every = fresh.withColumn("late", F.lit(1)).unionByName(old.withColumn("late", F.lit(0)))
+    filled = (F.size("sig") >= config.bands * config.rows) & (F.col("sig")[0] < EMPTY)
+    reps = every.where(filled).groupBy("sig").agg(F.min(F.struct("late", "documentId")).alias("r")).select("sig", "r.late", F.col("r.documentId").alias("rep"))
+    ties = fresh.join(reps, "sig").where(F.col("documentId") != F.col("rep")).select(F.col("rep").alias("x"), F.col("documentId").alias("y"))
+    new = C.band_rows(reps.where("late = 1").select(F.col("rep").alias("x"), "sig"), "x", config)
+    all_bands = C.band_rows(reps.select(F.col("rep").alias("y"), "sig"), "y", config)
+    near = new.join(all_bands, ["band", "key"]).where("x <> y").select("x", "y").unionByName(ties)
     exact = None
     for h in ("sha", "norm_hash"):
         part = fresh.select(F.col("documentId").alias("x"), h).join(every.groupBy(h).agg(F.min("documentId").alias("y")), h).where("x <> y").select("x", "y")
