@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR = "affinis.staging.dir"
+_STAGED: list[str] = []
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -37,10 +38,21 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{staging_root(spark)}/affinis/{label}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_staged(spark: SparkSession) -> int:
+    """Delete every table staged by this process; call it when all results that depend on them are written."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    gone = 0
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
+
+
 def partitions_of(df: DataFrame) -> int:
     return df._jdf.queryExecution().toRdd().getNumPartitions()
 

@@ -37,6 +37,8 @@ def _docx(data: bytes) -> tuple[str, str, list[dict]]:
 
 def extract(extension: str, name: str, data: bytes, pdf: Extractor | None = None, ocr: Extractor | None = None) -> tuple[str, str | None, list[dict]]:
     """(text, markup, images) of one file; raises for unsupported kinds."""
+    if extension not in SUPPORTED:
+        raise ValueError(f"unsupported file type {extension or name}")
     if extension == ".txt":
         return data.decode("utf-8", "ignore"), None, []
     if extension == ".docx":
@@ -45,11 +47,9 @@ def extract(extension: str, name: str, data: bytes, pdf: Extractor | None = None
         size = size_of(data) or (None, None)
         found = ocr(data) if ocr else ""
         return found or f"[Image Document: {name}]", None, [{"name": name, "sha256": sha256(data).hexdigest(), "width": size[0], "height": size[1]}]
-    if extension == ".pdf":
-        if pdf is None:
-            raise ValueError("no PDF extractor is given")
-        return pdf(data), None, []
-    raise ValueError(f"unsupported file type {extension or name}")
+    if pdf is None:
+        raise ValueError("no PDF extractor is given")
+    return pdf(data), None, []
 
 
 def read_documents(spark: SparkSession, path: str, pdf: Extractor | None = None, ocr: Extractor | None = None) -> DataFrame:

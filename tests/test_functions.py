@@ -8,10 +8,8 @@ from affinis.functions.words import BOILERPLATE, CODE_KEYWORDS, STOP_WORDS
 
 
 def one(spark, column, **values):
-    names = list(values)
-    df = spark.createDataFrame([tuple(values.values())], ", ".join(f"{n} {'string' if v is None or isinstance(v, str) else 'double' if isinstance(v, float) else 'binary' if isinstance(v, bytes) else 'boolean' if isinstance(v, bool) else 'int'}" for n, v in values.items()))
-    for n in names[:0]:
-        df = df.withColumn(n, F.col(n))
+    kinds = {str: "string", float: "double", bytes: "binary", int: "int", type(None): "string"}
+    df = spark.createDataFrame([tuple(values.values())], ", ".join(f"{n} {kinds[type(v)]}" for n, v in values.items()))
     return df.select(column.alias("r")).first()["r"]
 
 

@@ -200,3 +200,31 @@ def test_multimodal(spark):
     got = {(r["a"], r["b"]): r for r in M.compare(pairs, content, "id").collect()}
     assert got[("a", "b")]["score"] == 1.0 and got[("a", "b")]["image_similarity"] == 1.0 and len(got[("a", "b")]["table_matches"]) == 1
     assert got[("c", "d")]["is_exact"] and got[("f", "g")]["is_exact"] and got[("c", "e")]["score"] == 0.0
+
+
+def test_logs_and_names(spark):
+    log = spark.createDataFrame([("s", 1, "queued"), ("s", 3, "done"), ("t", 2, "queued")], "scanId string, at int, state string")
+    assert {(r["scanId"], r["state"]) for r in sinks.latest_by(log, "scanId", "at").collect()} == {("s", "done"), ("t", "queued")}
+    assert sinks.renamed_fields(log.withColumnRenamed("at", "candidate_pairs")).columns == ["scanId", "candidatePairs", "state"]
+    assert readers.scan_rows(log, "s").count() == 2
+    d = results.document_averages(docs(spark, "Alpha", "beta"), pairs(spark))
+    assert results.search_documents(d, " ALP ").count() == 1 and results.search_documents(d).count() == 2
+
+
+def test_read_queries_on_empty_tables(spark):
+    d, p = docs(spark).limit(0), pairs(spark, ("a", "b", 0.5)).limit(0)
+    assert results.document_averages(d, p).count() == 0 and results.duplicate_files(d, p).count() == 0 and results.scan_summary(d, p).count() == 0
+    assert results.page(results.evidence_summary(p), results.pair_order()).count() == 0 and results.score_categories(p).count() == 0
+
+
+def test_clashing_columns_and_nulls(spark):
+    rows = [(i, "one two three four five six seven eight" if i < 3 else None, "x") for i in range(5)] + [(None, "one two three four five six", "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, sig string").withColumn("shingles", F.lit("s")).withColumn("a", F.lit(1)).withColumn("sha", F.lit("h"))
+    assert {(r["a"], r["b"]) for r in pipeline.scan(d).collect()} == {(0, 1), (0, 2)}
+
+
+def test_staged_tables_are_cleared(spark):
+    from affinis.runtime import clear_staged, stage
+
+    kept = stage(spark.range(3), "x")
+    assert kept.count() == 3 and clear_staged(spark) >= 1 and clear_staged(spark) == 0
