@@ -152,21 +152,21 @@ def shared_spans(items: DataFrame, ident: str = "item_id", text: str = "text", w
     """(ident, span_start, span_end): maximal runs of characters inside windows that also occur in another record.
 
     Characters are code points compared as stored. Null texts and texts shorter than width have no span; records of
-    equal ident count as one record. A minimiser whose packed strings exceed half a bucket gets buckets of its own by
-    whole windows, which are grouped exactly by the engine instead of in one task.
+    equal ident count as one record. The distinct strings of a minimiser whose packed text exceeds half a bucket are
+    taken apart into whole windows, which the engine groups by a 256-bit hash instead of in one task.
     """
     kind = dict(items.dtypes)[ident]
     rows = spread(items.select(F.col(ident).alias("ident"), F.col(text).alias("t"))).where(F.col("ident").isNotNull() & (F.length("t") >= width))
-    packed = stage(rows.mapInPandas(_pack(width), f"ident {kind}, start bigint, mini bigint, s string").withColumn("k", F.sha2("s", 256)), "super-kmers")
-    uniq = packed.groupBy("k", "mini").agg(F.first("s").alias("s"), F.min("ident").alias("lo"), F.max("ident").alias("hi"))
-    uniq = stage(uniq, "packed")
-    load = stage(uniq.groupBy("mini").agg(F.sum(F.length("s")).alias("chars"), F.count(F.lit(1)).alias("strings"), F.min("lo").alias("a"), F.max("hi").alias("b")).where("a <> b"), "loads")
+    packed = rows.mapInPandas(_pack(width), f"ident {kind}, start bigint, mini bigint, s string")
+    packed = stage(packed.select("ident", "start", "mini", "s", F.length("s").alias("len"), F.unhex(F.md5("s")).alias("k")), "super-kmers")
+    # minimisers met in one record only hold no shared window, so their strings travel no further
+    load = stage(packed.groupBy("mini").agg(F.sum("len").alias("chars"), F.min("ident").alias("a"), F.max("ident").alias("b")).where("a <> b").select("mini", "chars"), "loads")
     total = load.agg(F.coalesce(F.sum("chars"), F.lit(0))).first()[0]
     buckets = max(1, -(-total // BUCKET_CHARS))
-    # minimisers met in one record only hold no shared window, so their strings travel no further
-    live = uniq.join(load.select("mini", "chars"), "mini")
+    # joined and combined on the minimiser, the strings are shuffled once
+    live = packed.select("ident", "mini", "s", "k").join(load, "mini").groupBy("mini", "k", "chars").agg(F.first("s").alias("s"), F.min("ident").alias("lo"), F.max("ident").alias("hi"))
     cool = live.where(F.col("chars") <= BUCKET_CHARS // 2)
-    spec = "k string, first bigint, end bigint"
+    spec = "k binary, first bigint, end bigint"
     counted = cool.select("k", "s", "lo", "hi", "mini", F.pmod(F.xxhash64("mini"), F.lit(buckets)).alias("bucket")).groupBy("bucket").applyInPandas(_count_bucket(width), spec)
     hot = live.where(F.col("chars") > BUCKET_CHARS // 2)
     places = hot.select("k", "lo", "hi", "s", F.explode(F.sequence(F.lit(1), F.length("s") - width + 1)).alias("p"))
