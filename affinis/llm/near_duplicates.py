@@ -92,32 +92,30 @@ def _set_rows(width: int):
                 part = pdf.iloc[at : at + 1000]
                 sets = _batch_shingles(list(part["t"]), width)
                 keep = [i for i, s in enumerate(sets) if len(s)]
-                yield pd.DataFrame({"ident": part["ident"].iloc[keep].to_numpy(), "k": [blake2b(sets[i].tobytes(), digest_size=16).hexdigest() for i in keep], "hashes": [to_signed(sets[i]) for i in keep]})
+                if not keep:
+                    continue
+                minima = _minima([sets[i] for i in keep])
+                yield pd.DataFrame({"ident": part["ident"].iloc[keep].to_numpy(), "k": [blake2b(sets[i].tobytes(), digest_size=16).digest() for i in keep], "n": [len(sets[i]) for i in keep], "hashes": [to_signed(sets[i]) for i in keep], "sig": list(_pack(minima)), "bands": list(_band_keys(minima))})
 
     return run
 
 
-def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for at in range(0, len(pdf), 1000):
-            part = pdf.iloc[at : at + 1000]
-            minima = _minima([np.asarray(x).view(np.uint64) for x in part["hashes"]])
-            yield pd.DataFrame({"cls": part["cls"].to_numpy(), "n": [len(x) for x in part["hashes"]], "sig": list(_pack(minima)), "bands": list(_band_keys(minima))})
-
-
 def content_classes(items: DataFrame, ident: str, text: str, width: int = 5) -> tuple[DataFrame, DataFrame]:
-    """members (ident, cls) and classes (cls, members, hashes): records of equal shingle sets share a class.
+    """members (ident, cls) and classes (cls, members, n, hashes, sig, bands): records of equal shingle sets share a class.
 
-    Null texts and texts without a token are in no class.
+    Null texts and texts without a token are in no class. Sets and signatures are staged once, with the records; a class
+    reads those of its smallest ident.
     """
     rows = spread(items.select(F.col(ident).alias("ident"), F.col(text).alias("t"))).where("t is not null and ident is not null")
     kind = dict(items.dtypes)[ident]
-    keyed = stage(rows.mapInPandas(_set_rows(width), f"ident {kind}, k string, hashes array<bigint>"), "shingles")
-    own = keyed.select("k", "ident").distinct()
-    least = own.groupBy("k").agg(F.min("ident").alias("cls"), F.count(F.lit(1)).alias("members"))
-    members = own.join(least, "k").select(F.col("ident").alias(ident), "cls")
-    classes = keyed.withColumnRenamed("ident", "cls").join(least, ["k", "cls"]).select("cls", "members", "hashes").dropDuplicates(["cls"])
-    return stage(members, "nd-members"), stage(classes, "nd-classes")
+    made = rows.mapInPandas(_set_rows(width), f"ident {kind}, k binary, n int, hashes array<bigint>, sig array<bigint>, bands array<bigint>")
+    keyed = stage(made.withColumn("row", F.monotonically_increasing_id()), "shingles")
+    own = keyed.groupBy("k", "ident").agg(F.min("row").alias("row"))
+    least = own.groupBy("k").agg(F.min(F.struct("ident", "row")).alias("h"), F.count(F.lit(1)).alias("members"))
+    members = stage(own.join(least, "k").select(F.col("ident").alias(ident), "row", F.col("h.ident").alias("cls"), F.col("h.row").alias("head"), "members"), "nd-members")
+    heads = members.where("row = head").select("row", "cls", "members")
+    classes = keyed.drop("ident").join(heads, "row")
+    return members.select(ident, "cls"), classes
 
 
 def estimated(sig_a: Column, sig_b: Column) -> Column:
@@ -148,17 +146,18 @@ def similar_content(classes: DataFrame, threshold: float) -> DataFrame:
     Buckets of equal band minima propose pairs; a hot bucket is split into blocks. A proposal whose b-bit estimate lies
     far below the threshold is dropped, the rest is verified on the whole sets of shingle hashes.
     """
-    kind = dict(classes.dtypes)["cls"]
-    signed = stage(classes.select("cls", "hashes").mapInPandas(_sign, f"cls {kind}, n int, sig array<bigint>, bands array<bigint>"), "signatures")
-    rows = signed.select("cls", "n", "sig", F.posexplode("bands").alias("band", "key"))
+    rows = classes.select("cls", "n", F.posexplode("bands").alias("band", "key"))
     shorter, longer = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
-    close = (shorter >= longer * F.lit(threshold) - 1e-9) & (estimated(F.col("a_sig"), F.col("b_sig")) >= threshold - slack(threshold))
-    found = bucket_pairs(rows, ["band", "key"], "cls", ["n", "sig"], where=close).select(F.col("a_cls").alias("cls_a"), F.col("b_cls").alias("cls_b")).distinct()
+    met = bucket_pairs(rows, ["band", "key"], "cls", ["n"], where=shorter >= longer * F.lit(threshold) - 1e-9).select(F.col("a_cls").alias("cls_a"), F.col("b_cls").alias("cls_b")).distinct()
+    sa, sb = classes.select(F.col("cls").alias("cls_a"), F.col("sig").alias("sa")), classes.select(F.col("cls").alias("cls_b"), F.col("sig").alias("sb"))
+    close = estimated(F.col("sa"), F.col("sb")) >= threshold - slack(threshold)
+    found = stage(met.join(sa, "cls_a").join(sb, "cls_b").where(close).select("cls_a", "cls_b"), "nd-candidates")
     a = classes.select(F.col("cls").alias("cls_a"), F.col("hashes").alias("ha"))
     b = classes.select(F.col("cls").alias("cls_b"), F.col("hashes").alias("hb"))
     both = F.size(F.array_intersect("ha", "hb"))
     checked = found.join(a, "cls_a").join(b, "cls_b").select("cls_a", "cls_b", both.alias("o"), (F.size("ha") + F.size("hb") - both).alias("u"))
-    return checked.where(F.col("o") >= F.col("u") * F.lit(float(threshold)) - 1e-9).select("cls_a", "cls_b", (F.col("o") / F.col("u")).alias("similarity"))
+    near = checked.where(F.col("o") >= F.col("u") * F.lit(float(threshold)) - 1e-9)
+    return near.groupBy("cls_a", "cls_b").agg(F.max(F.col("o") / F.col("u")).alias("similarity"))
 
 
 def near_duplicate_pairs(items: DataFrame, ident: str = "item_id", text: str = "text", threshold: float = 0.8, width: int = 5) -> DataFrame:

@@ -259,7 +259,8 @@ def test_near_duplicates(spark):
     texts = near_texts()
     df = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "item_id long, text string").withColumn("cls", F.lit(1)).withColumn("n", F.lit(1))
     want = set_brute({i: shingle_set(t) for i, t in enumerate(texts)}, 0.7)
-    assert rows(near_duplicates.near_duplicate_pairs(df, threshold=0.7)) == want
+    found = near_duplicates.near_duplicate_pairs(df, threshold=0.7)
+    assert rows(found) == want and found.count() == len(want)
     got = {r["item_id"]: r for r in near_duplicates.near_duplicate_groups(df, threshold=0.7).collect()}
     assert {(i, r["group_id"]) for i, r in got.items() if r["copies"] > 1 or r["links"]} == component_brute(want)
     assert near_duplicates.near_duplicate_pairs(df.limit(0)).count() == 0
