@@ -23,7 +23,7 @@ from affinis.runtime import spread, stage
 #: Misreadings of printed letters: what stands on paper, and what recognition makes of it.
 CONFUSIONS = (
     ("e", "c"), ("s", "5"), ("t", "f"), ("a", "o"), ("n", "ri"), ("i", "l"), ("o", "0"), ("l", "|"), ("d", "cl"), ("l", "1"), ("i", "1"), ("u", "ii"), ("m", "rn"),
-    ("h", "b"), ("g", "9"), ("b", "6"), ("b", "8"), ("w", "vv"), ("fi", "ﬁ"), ("fl", "ﬂ"), ("rn", "m"), ("cl", "d"), ("ü", "ii"), ("z", "2"),
+    ("h", "b"), ("g", "9"), ("b", "6"), ("b", "8"), ("ö", "6"), ("w", "vv"), ("fi", "ﬁ"), ("fl", "ﬂ"), ("rn", "m"), ("cl", "d"), ("ü", "ii"), ("z", "2"),
     ("é", "e"), ("è", "e"), ("ê", "e"), ("ä", "a"), ("á", "a"), ("à", "a"), ("â", "a"), ("ö", "o"), ("ó", "o"), ("ô", "o"), ("ü", "u"), ("ú", "u"), ("í", "i"), ("î", "i"), ("ñ", "n"), ("ç", "c"),
 )
 #: Price of a confusion, of any other edit, and the most a correction may cost.
@@ -328,7 +328,7 @@ def corrections(forms: DataFrame, lexicon: DataFrame) -> DataFrame:
     # a shape with one stroke left out pairs with the whole shape of the other side and with itself
     asked = forms.select("word", "n", F.explode(_keys("word")).alias("key"))
     near = F.length("word").between(F.length("right") - 4, F.length("right") + 4)
-    enough = F.col("freq") >= F.greatest(F.lit(1), F.col("n")) * F.when(F.length("word") <= 3, RATIO_SHORT).otherwise(F.when(F.col("word").rlike(r"[0-9|ﬁﬂ]"), 1).otherwise(RATIO))
+    enough = F.col("freq") >= F.greatest(F.lit(1), F.col("n")) * F.when(F.length("word") <= 3, RATIO_SHORT).when(F.col("word").rlike(r"[0-9|ﬁﬂ]"), 1).otherwise(RATIO)
     met = asked.join(index, "key").where((F.col("word") != F.col("right")) & near & enough & (F.length("word") > 1)).select("word", "right", "freq").distinct()
     return met.withColumn("cost", _cost("right", "word")).where(F.col("cost") <= MOST)
 
@@ -355,27 +355,34 @@ def findings(pages: DataFrame, images: DataFrame) -> DataFrame:
     words = stage(words.mapInPandas(_words, "record_id string, line_no int, pos int, read string, rest string, begins boolean, prev string, next string"), "ocr-words")
     plain = words.where("rest is null").withColumn("word", F.lower("read"))
     capital = F.col("read").rlike(r"^\p{Lu}") & ~F.col("begins")
-    lexicon = plain.where(F.col("word").rlike(r"^[\p{L}][\p{L}'’\-]*$")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if(capital).alias("upper"), F.count_if(F.col("read").rlike(r"^\p{Ll}")).alias("lower"))
-    lexicon = stage(lexicon, "ocr-lexicon")
+    counts = plain.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if(capital).alias("upper"), F.count_if(F.col("read").rlike(r"^\p{Ll}")).alias("lower"))
+    counts = stage(counts, "ocr-counts")
+    lexicon = counts.where(F.col("word").rlike(r"^[\p{L}][\p{L}'’\-]*$"))
 
     broken = words.where("rest is not null").withColumn("one", F.lower(F.concat("read", "rest"))).withColumn("two", F.lower(F.concat("read", F.lit("-"), "rest")))
-    forms = plain.select("word").unionByName(broken.select(F.col("one").alias("word"))).unionByName(broken.select(F.col("two").alias("word"))).distinct()
     letters = F.col("word").rlike(r"\p{L}") & ~F.col("word").rlike(r"^\p{L}-[0-9]+$")
-    forms = forms.where(letters).join(lexicon.select("word", "n"), "word", "left").na.fill(0, ["n"])
+    whole = broken.select(F.explode(F.array("one", "two")).alias("word"), F.lit(0).cast("long").alias("n"))
+    forms = counts.select("word", F.when(F.col("word").rlike(r"^[\p{L}][\p{L}'’\-]*$"), F.col("n")).otherwise(0).alias("n")).unionByName(whole).where(letters).groupBy("word").agg(F.max("n").alias("n"))
     known = stage(corrections(forms, lexicon), "ocr-corrections")
 
-    # misread words: the cheapest correction, then wording around it, then frequency
-    bigrams = plain.where("prev <> ''").groupBy(F.col("prev").alias("x"), F.col("word").alias("y")).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    options = plain.join(known, "word").select("record_id", "line_no", "pos", "read", "word", "begins", "prev", "next", "right", "cost", "freq")
-    before = bigrams.select(F.col("x").alias("prev"), F.col("y").alias("right"), F.col("m").alias("m1"))
-    after = bigrams.select(F.col("x").alias("right"), F.col("y").alias("next"), F.col("m").alias("m2"))
-    scored = options.join(before, ["prev", "right"], "left").join(after, ["right", "next"], "left")
-    score = -8.0 * F.col("cost") + F.log1p(F.coalesce("m1", F.lit(0))) + F.log1p(F.coalesce("m2", F.lit(0))) + 0.5 * F.log(F.col("freq").cast("double"))
-    best = scored.groupBy("record_id", "line_no", "pos").agg(F.max_by(F.struct("read", "right", "begins"), F.struct(score, "right")).alias("b"))
-    mended = best.select("record_id", "line_no", "pos", "b.read", "b.right", "b.begins").join(lexicon.select(F.col("word").alias("right"), (F.col("upper") > F.col("lower")).alias("name")), "right", "left")
+    # misread words: where there is a choice, the cheapest correction, then wording around it, then frequency
+    many = known.groupBy("word").agg((F.count(F.lit(1)) > 1).alias("choice"))
+    options = plain.join(known.join(many, "word"), "word").select("record_id", "line_no", "pos", "read", "begins", "prev", "next", "right", "cost", "freq", "choice")
+    options = stage(options, "ocr-options")
+    chosen = options.where("choice")
+    near = plain.join(chosen.select(F.col("right").alias("word")).distinct(), "word", "left_semi")
+    before = near.groupBy("prev", F.col("word").alias("right")).agg(F.count(F.lit(1)).alias("m1"))
+    after = near.groupBy(F.col("word").alias("right"), "next").agg(F.count(F.lit(1)).alias("m2"))
+    scored = chosen.join(before, ["prev", "right"], "left").join(after, ["right", "next"], "left")
+    told = lambda c, m: F.when((F.col(c) != "") & (F.col(m) > 1), F.log1p(m)).otherwise(0.0)
+    score = -8.0 * F.col("cost") + told("prev", "m1") + told("next", "m2") + 0.5 * F.log(F.col("freq").cast("double"))
+    spot = ["record_id", "line_no", "pos"]
+    best = scored.groupBy(*spot).agg(F.max_by(F.struct("read", "right", "begins"), F.struct(score, "right")).alias("b")).select(*spot, "b.read", "b.right", "b.begins")
+    best = best.unionByName(options.where("not choice").select(*spot, "read", "right", "begins"))
+    mended = best.join(lexicon.select(F.col("word").alias("right"), (F.col("upper") > F.col("lower")).alias("name")), "right", "left")
     mended = mended.select("record_id", "line_no", "pos", _cased("right", "read", F.col("begins") | F.coalesce("name", F.lit(False))).alias("fix"))
     # words with digits among their letters that no lexicon word explains
-    rest = plain.where(F.col("word").rlike(r"[0-9|]") & F.col("word").rlike(r"\p{L}.*\p{L}")).join(best.select("record_id", "line_no", "pos"), ["record_id", "line_no", "pos"], "left_anti")
+    rest = plain.where(F.col("word").rlike(r"[0-9|]") & F.col("word").rlike(r"\p{L}.*\p{L}")).join(many.select("word"), "word", "left_anti")
     spelled = rest.withColumn("right", _unread("word")).where("right is not null").select("record_id", "line_no", "pos", _cased("right", "read", F.col("begins")).alias("fix"))
     misread = mended.unionByName(spelled).select("record_id", "line_no", F.lit("misread").alias("kind"), "fix")
 
