@@ -24,7 +24,8 @@ def features(docs: DataFrame, ident: str = "doc_id", body: str = "text", config:
     filled = F.lit(True) if config.compat_empty else F.col("_norm") != ""
     out = base.select(ident, "_t", norm.alias("_norm"), toks.alias("_toks"))
     out = out.select(ident, F.when(filled, F.sha2("_t", 256)).alias("sha"), F.when(filled, F.sha2("_norm", 256)).alias("norm_hash"), F.size("_toks").cast("long").alias("n_tokens"), text.shingles(F.col("_toks"), config.shingle_size).alias("shingles"))
-    return out.withColumn("sig", hashing.minhash(F.col("shingles"), config.permutations))
+    # staged first: as the input of a Python function, the shingles would be computed anew for every run of tokens
+    return stage(out, "shingled").withColumn("sig", hashing.minhash(F.col("shingles"), config.permutations))
 
 
 def band_rows(sigs: DataFrame, ident: str, config: SimilarityConfig = DEFAULT) -> DataFrame:

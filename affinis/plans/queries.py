@@ -109,12 +109,12 @@ def minhash_signatures(s: SparkSession, d: str) -> DataFrame:
 
 
 def fingerprints(s: SparkSession, d: str) -> DataFrame:
-    f = C.fingerprint_source(table(s, d, "fingerprint_requests")).withColumn("sig", hashing.minhash(F.col("shingles")))
+    f = stage(C.fingerprint_source(table(s, d, "fingerprint_requests")), "requests").withColumn("sig", hashing.minhash(F.col("shingles")))
     return f.select("request_id", F.size("shingles").cast("long").alias("n_shingles"), F.col("sig")[0].alias("sig_first"), F.col("sig")[127].alias("sig_last"))
 
 
 def lsh_candidates(s: SparkSession, d: str) -> DataFrame:
-    f = stage(_shingled(s, d).select("doc_id", hashing.minhash(F.col("shingles")).alias("sig")), "signatures")
+    f = stage(stage(_shingled(s, d), "shingles").select("doc_id", hashing.minhash(F.col("shingles")).alias("sig")), "signatures")
     return C.lsh_pairs(f, "doc_id").distinct()
 
 
