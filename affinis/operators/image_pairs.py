@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinis.functions.images import distance_similarity, hamming
+from affinis.operators.candidates import BLOCK, pairs_in_buckets
+from affinis.runtime import stage
 
 #: Blocks of a 64-bit hash, and bits of each.
 BLOCKS, BITS = 4, 16
+#: Bits apart up to which images.best_of counts two images as alike: a similarity of 0.50.
+ALIKE = 16
 
 
 def _masks(radius: int) -> list[int]:
@@ -47,3 +54,50 @@ def same_content(images: DataFrame) -> DataFrame:
     own = images.where("sha256 is not null and imageId is not null").select(F.lower("sha256").alias("h"), F.col("imageId").alias("image_id"), "documentId")
     groups = own.groupBy("h").agg(F.min("image_id").alias("first_image_id"), F.count_distinct("documentId").alias("documents")).where("documents > 1")
     return own.join(groups, "h").select("image_id", "first_image_id", "documents")
+
+
+def _compared(most: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for same, x, y in zip(pdf["same"], pdf["x"], pdf["y"]):
+                left, right = (np.array([int(h, 16) for h in side], dtype=np.uint64) for side in (x, y))
+                for k, h in enumerate(left):
+                    at = np.flatnonzero(np.bitwise_count(right ^ h) <= most)
+                    met = [(min(x[k], y[j]), max(x[k], y[j])) for j in at if (x[k] < y[j] if same else x[k] != y[j])]
+                    if met:
+                        yield pd.DataFrame(met, columns=["dhash_a", "dhash_b"])
+
+    return run
+
+
+def near_hashes(hashes: DataFrame, most: int = ALIKE, block: int = BLOCK) -> DataFrame:
+    """(dhash_a, dhash_b) of different hashes at most `most` bits apart; hashes: distinct, well-formed, lower case.
+
+    At a quarter of all bits an index by blocks meets a large share of all pairs, each dearer than a comparison, so
+    blocks of hashes are compared whole, by machine words.
+    """
+    n = hashes.agg(F.ceil(F.count(F.lit(1)) / block).alias("_n"))
+    placed = hashes.join(F.broadcast(n), F.lit(True)).select("dhash", F.pmod(F.xxhash64("dhash"), F.col("_n")).cast("int").alias("_b"))
+    blocks = stage(placed.groupBy("_b").agg(F.collect_list("dhash").alias("x")), "image-blocks")
+    met = blocks.join(blocks.select(F.col("_b").alias("_c"), F.col("x").alias("y")), F.col("_b") <= F.col("_c"))
+    tasks = met.select((F.col("_b") == F.col("_c")).alias("same"), "x", "y").repartition(hashes.sparkSession.sparkContext.defaultParallelism * 2)
+    return tasks.mapInPandas(_compared(most), "dhash_a string, dhash_b string")
+
+
+def document_pairs(images: DataFrame, most: int = ALIKE) -> DataFrame:
+    """Distinct (a, b), a < b, of documents with images of equal bytes or of hashes at most `most` bits apart.
+
+    Documents meet in the buckets of equal bytes and equal hashes, and across every two close hashes; hot buckets are
+    split into blocks.
+    """
+    own = images.where("documentId is not null").select("documentId", F.lower("sha256").alias("sha"), F.lower("dhash").alias("dhash"))
+    members = stage(own.where(F.col("dhash").rlike("^[0-9a-f]{16}$")).select("dhash", "documentId").distinct(), "image-hashes")
+    keyed = own.where("sha is not null").select(F.concat(F.lit("s"), "sha").alias("k"), "documentId").unionByName(members.select(F.concat(F.lit("d"), "dhash").alias("k"), "documentId"))
+    equal = pairs_in_buckets(keyed.distinct(), ["k"], "documentId")
+    close = stage(near_hashes(members.select("dhash").distinct(), most), "image-close")
+    sizes = members.groupBy(F.col("dhash").alias("dhash_a")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("nb"))
+    sized = close.join(sizes, "dhash_a")
+    left = sized.join(members.select(F.col("dhash").alias("dhash_a"), F.col("documentId").alias("x")), "dhash_a").select("dhash_a", "dhash_b", "x", F.pmod(F.xxhash64("x"), F.col("nb")).alias("blk"))
+    right = sized.join(members.select(F.col("dhash").alias("dhash_b"), F.col("documentId").alias("y")), "dhash_b").select("dhash_a", "dhash_b", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("blk"))
+    across = left.join(right, ["dhash_a", "dhash_b", "blk"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return equal.unionByName(across).distinct()

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from affinis.config import DEFAULT, SimilarityConfig
 from affinis.functions import code, images, scoring, tables, text
+from affinis.operators import candidates as C
+from affinis.operators import image_pairs
+from affinis.runtime import stage
 
 #: Columns of a document's content, with an empty value for each.
 CONTENT = {
@@ -28,6 +32,20 @@ def contents(images_table: DataFrame, texts: DataFrame, ident: str = "documentId
     return base.join(own, ident, "left")
 
 
+def documents(images_table: DataFrame, texts: DataFrame, ident: str = "documentId") -> DataFrame:
+    """texts with a further row, its other columns null, for every document that has images only."""
+    own = images_table.where("documentId is not null").select(F.col("documentId").alias(ident)).distinct()
+    return texts.where(F.col(ident).isNotNull()).join(own, ident, "full")
+
+
+def candidates(images_table: DataFrame, feats: DataFrame, ident: str = "documentId", config: SimilarityConfig = DEFAULT) -> DataFrame:
+    """(a, b, text_score) of documents whose texts or images are alike; the score is that of their sets, 1 for equal hashes."""
+    seen = image_pairs.document_pairs(images_table).withColumn("is_exact", F.lit(False))
+    pairs = C.candidates(feats, ident, config).unionByName(seen).groupBy("a", "b").agg(F.max("is_exact").alias("is_exact"))
+    scored = C.set_scores(stage(pairs, "multimodal-pairs"), feats, ident)
+    return scored.select("a", "b", F.when(F.col("is_exact"), 1.0).otherwise(F.col("jaccard")).alias("text_score"))
+
+
 def compare(pairs: DataFrame, content: DataFrame, ident: str) -> DataFrame:
     """pairs (a, b, text_score) with score, percentage, is_exact and the evidence of images, tables and code.
 

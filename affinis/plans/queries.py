@@ -179,11 +179,13 @@ def text_only_scores(s: SparkSession, d: str) -> DataFrame:
 
 
 def multimodal_scores(s: SparkSession, d: str) -> DataFrame:
-    """Candidate pairs of the latest delivered item of each document, with its images and code."""
+    """Pairs of documents alike in text or images: the latest delivered item of each, its images and code."""
+    seen = table(s, d, "images")
     items = table(s, d, "document_items").where("documentId is not null").groupBy("documentId").agg(F.max_by("text", "item_id").alias("text"))
+    items = stage(multimodal.documents(seen, items), "items")
     f = stage(C.features(items, "documentId"), "features")
-    pairs = C.set_scores(C.candidates(f, "documentId"), f, "documentId").select("a", "b", F.when(F.col("is_exact"), 1.0).otherwise(F.col("jaccard")).alias("text_score"))
-    content = stage(multimodal.contents(table(s, d, "images"), items), "contents")
+    pairs = multimodal.candidates(seen, f)
+    content = stage(multimodal.contents(seen, items), "contents")
     got = multimodal.compare(stage(pairs, "pairs"), content, "documentId")
     return got.select("a", "b", "score", "percentage", "is_exact", "image_similarity", "code_similarity", "table_similarity")
 

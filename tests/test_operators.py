@@ -137,6 +137,28 @@ def test_image_pairs_brute_force(spark):
     assert {(r["dhash_a"], r["dhash_b"]) for r in image_pairs.close_hashes(df).collect()} == want
 
 
+def test_document_pairs_by_images(spark):
+    """Every two documents with an image that best_of counts, also far ones, hot ones and those without a text."""
+    from affinis.operators import multimodal as M
+
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(6)]
+    hashes = [b ^ sum(1 << i for i in rng.sample(range(64), k)) for b in base for k in (0, 0, 12, 14, 16, 17)]
+    rows = [(f"i{i}", f"d{i % 31:02}", f"{h:016X}", f"S{i % 17}" if i % 3 else None) for i, h in enumerate(hashes)] + [("n", "z", None, "s1"), ("m", None, None, "s1"), ("bad", "y", "zz", None)]
+    df = spark.createDataFrame(rows, "imageId string, documentId string, dhash string, sha256 string")
+    near = lambda x, y: bool(x and y and len(x) == len(y) == 16 and (int(x, 16) ^ int(y, 16)).bit_count() <= 16)
+    want = {(p[1], q[1]) for p in rows for q in rows if p[1] and q[1] and p[1] < q[1] and (near(p[2], q[2]) or (p[3] and q[3] and p[3].lower() == q[3].lower()))}
+    assert {tuple(r) for r in image_pairs.document_pairs(df).collect()} == want
+    few = image_pairs.near_hashes(df.where("length(dhash) = 16").select(F.lower("dhash").alias("dhash")).distinct(), 16, block=7)
+    distinct = sorted({f"{h:016x}" for h in hashes})
+    assert sorted(tuple(r) for r in few.collect()) == [(x, y) for i, x in enumerate(distinct) for y in distinct[i + 1 :] if near(x, y)]
+
+    texts = M.documents(df, spark.createDataFrame([("d00", "some words"), ("only text", "other words")], "documentId string, text string"))
+    assert {r["documentId"] for r in texts.collect()} == {r[1] for r in rows if r[1]} | {"only text"}
+    got = M.compare(M.candidates(df, C.features(texts, "documentId")), M.contents(df, texts), "documentId").collect()
+    assert {(r["a"], r["b"]) for r in got} == want and all(r["image_similarity"] >= 0.5 and r["score"] > 0 for r in got)
+
+
 def test_insert_if_absent(spark, tmp_path):
     rows = spark.createDataFrame([("s", "a", "b", 0.5), ("s", "a", "b", 0.7), ("s", "a", None, 0.1)], "scanId string, documentAId string, documentBId string, similarityScore double")
     path = str(tmp_path / "results")
