@@ -3,7 +3,7 @@
 Lines at the top or bottom that stand on several pages of a file and bare page numbers are taken off; words broken at line
 ends are joined; rare words are held against a lexicon of corpus frequencies. A symmetric-delete index over the letters'
 confusable shapes generates corrections, a weighted edit distance with confusion pairs ranks them, and frequencies of
-neighbouring words decide between equals.
+neighbouring words decide between equals. The findings are listed, or applied: paragraphs() gives the flowing text.
 """
 
 from __future__ import annotations
@@ -243,36 +243,42 @@ def _breaks(line: str) -> bool:
 _STOPS = (".", "?", "!")
 
 
+def _tokens(text: str, drop, after: str | None, joined: bool) -> list[list]:
+    """Words of a record's text proper: line_no, word, rest (second half of a broken word), start of a sentence, the token
+    as it stands and that of the second half. Tokens of punctuation only have an empty word."""
+    lines = _proper(text, drop)
+    toks: list[list] = []
+    skip, start, last_no = bool(joined), False, None
+    for k, (no, line) in enumerate(lines):
+        parts = line.split()
+        if skip:
+            parts = parts[1:]
+            start = False
+        skip = False
+        if last_no is not None and no > last_no + 1:
+            start = True
+        last_no = no
+        nxt = lines[k + 1][1].split()[0] if k + 1 < len(lines) else after
+        cut = _breaks(line) and nxt is not None and (core(nxt)[:1].islower() or not core(nxt)[:1].isalpha() or core(nxt).isupper())
+        for i, tok in enumerate(parts):
+            if cut and i == len(parts) - 1:
+                toks.append([no, core(tok[:-1]), core(nxt), start, tok, nxt])
+                skip = True
+                start = nxt.endswith(_STOPS)
+            else:
+                toks.append([no, core(tok), None, start, tok, None])
+                start = tok.rstrip("\"'”’)").endswith(_STOPS)
+    return toks
+
+
 def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """record_id, line_no, pos, read, rest (second half of a broken word), start of a sentence, words before and after."""
     names = ["record_id", "line_no", "pos", "read", "rest", "begins", "prev", "next"]
     for pdf in batches:
         rows = []
         for r, text, drop, after, joined in zip(pdf["record_id"], pdf["text"], pdf["drop"], pdf["next_head"], pdf["joined"]):
-            lines = _proper(text, drop)
-            toks: list[list] = []
-            skip, start, last_no = bool(joined), False, None
-            for k, (no, line) in enumerate(lines):
-                parts = line.split()
-                if skip:
-                    parts = parts[1:]
-                    start = False
-                skip = False
-                if last_no is not None and no > last_no + 1:
-                    start = True
-                last_no = no
-                nxt = lines[k + 1][1].split()[0] if k + 1 < len(lines) else after
-                cut = _breaks(line) and nxt is not None and (core(nxt)[:1].islower() or not core(nxt)[:1].isalpha() or core(nxt).isupper())
-                for i, tok in enumerate(parts):
-                    if cut and i == len(parts) - 1:
-                        toks.append([no, core(tok[:-1]), core(nxt), start])
-                        skip = True
-                        start = nxt.endswith(_STOPS)
-                    else:
-                        toks.append([no, core(tok), None, start])
-                        start = tok.rstrip("\"'”’)").endswith(_STOPS)
-            toks = [t for t in toks if t[1]]
-            for i, (no, read, rest, begins) in enumerate(toks):
+            toks = [t for t in _tokens(text, drop, after, joined) if t[1]]
+            for i, (no, read, rest, begins, *_) in enumerate(toks):
                 prev = toks[i - 1][1].lower() if i and not toks[i - 1][2] else ""
                 nxt = toks[i + 1][1].lower() if i + 1 < len(toks) and not toks[i + 1][2] else ""
                 rows.append((r, no, i, read, rest, begins, prev, nxt))
@@ -333,8 +339,9 @@ def corrections(forms: DataFrame, lexicon: DataFrame) -> DataFrame:
     return met.withColumn("cost", _cost("right", "word")).where(F.col("cost") <= MOST)
 
 
-def findings(pages: DataFrame, images: DataFrame) -> DataFrame:
-    """(record_id, line_no, kind, fix) for running lines, page numbers, broken words and misread words.
+def repairs(pages: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Furniture (record_id, line_no, kind), words with their fix (record_id, line_no, pos, kind, fix), and the records they
+    belong to with what their neighbours in the file give (file, page, text, drop, next_head, joined).
 
     kind is running, page_number, hyphen or misread. A broken word keeps its hyphen if the corpus writes it so elsewhere
     more often than as one word. Files of one page have no running line. Repeated rows of one record count once.
@@ -351,7 +358,8 @@ def findings(pages: DataFrame, images: DataFrame) -> DataFrame:
     lower = F.regexp_replace("head", r"^[^\p{L}\p{N}|]+", "")
     joined = F.col("was_open") & (lower.rlike(r"^[\p{Ll}0-9|]") | (F.upper(lower) == lower))
     turns = turns.select("record_id", "next_head", joined.alias("joined"))
-    words = spread(body.join(turns, "record_id")).select("record_id", "text", "drop", "next_head", "joined")
+    flow = body.join(turns, "record_id")
+    words = spread(flow).select("record_id", "text", "drop", "next_head", "joined")
     words = stage(words.mapInPandas(_words, "record_id string, line_no int, pos int, read string, rest string, begins boolean, prev string, next string"), "ocr-words")
     plain = words.where("rest is null").withColumn("word", F.lower("read"))
     capital = F.col("read").rlike(r"^\p{Lu}") & ~F.col("begins")
@@ -384,7 +392,7 @@ def findings(pages: DataFrame, images: DataFrame) -> DataFrame:
     # words with digits among their letters that no lexicon word explains
     rest = plain.where(F.col("word").rlike(r"[0-9|]") & F.col("word").rlike(r"\p{L}.*\p{L}")).join(many.select("word"), "word", "left_anti")
     spelled = rest.withColumn("right", _unread("word")).where("right is not null").select("record_id", "line_no", "pos", _cased("right", "read", F.col("begins")).alias("fix"))
-    misread = mended.unionByName(spelled).select("record_id", "line_no", F.lit("misread").alias("kind"), "fix")
+    misread = mended.unionByName(spelled).select("record_id", "line_no", "pos", F.lit("misread").alias("kind"), "fix")
 
     # broken words: as written elsewhere, each form possibly misread
     top = known.groupBy("word").agg(F.max_by(F.struct("right", "freq"), F.struct(-F.col("cost"), "freq", "right")).alias("t")).select("word", F.col("t.right").alias("right"), F.col("t.freq").alias("freq"))
@@ -397,6 +405,107 @@ def findings(pages: DataFrame, images: DataFrame) -> DataFrame:
     hyphened = weight("two") > weight("one")
     fix = F.when(hyphened, F.coalesce("two_right", "two")).otherwise(F.coalesce("one_right", F.coalesce(_unread("one"), F.col("one"))))
     read = F.when(hyphened, F.concat("read", F.lit("-"), "rest")).otherwise(F.concat("read", "rest"))
-    hyphen = halves.select("record_id", "line_no", F.lit("hyphen").alias("kind"), _cased(fix, read, "begins").alias("fix"))
-    found = furniture.select("record_id", "line_no", "kind", F.lit("").alias("fix")).unionByName(hyphen).unionByName(misread)
+    hyphen = halves.select("record_id", "line_no", "pos", F.lit("hyphen").alias("kind"), _cased(fix, read, "begins").alias("fix"))
+    return furniture, hyphen.unionByName(misread), flow
+
+
+def findings(pages: DataFrame, images: DataFrame) -> DataFrame:
+    """(record_id, line_no, kind, fix) for running lines, page numbers, broken words and misread words."""
+    furniture, fixes, _ = repairs(pages, images)
+    found = furniture.select("record_id", "line_no", "kind", F.lit("").alias("fix")).unionByName(fixes.drop("pos"))
     return found.distinct()
+
+
+# ---------------------------------------------------------------- paragraphs
+
+#: How a piece of a paragraph ends: with a sentence, inside one, or as a heading.
+CLOSED, OPEN, HEADING = 1, 2, 3
+#: A single line without a sentence's end is a heading if numbered or shorter than this share of its page's longest line.
+SHORT_LINE = 0.6
+_NUMBERED = re.compile(r"(\d+\.)+\d*\s+\S")
+
+
+def mended(read: str, rest: str | None, token: str, second: str | None, fix: str | None) -> str:
+    """A token with its word replaced by the fix, the punctuation around it kept; a broken word is put together."""
+    if second is None:
+        return token if fix is None else token.replace(read, fix, 1)
+    at = token.find(read)
+    return token[:at] + (read + rest if fix is None else fix) + second[second.rfind(rest) + len(rest) :]
+
+
+def record_pieces(text: str, drop, after: str | None, joined: bool, fixes: dict[int, str]) -> list[tuple[str, int, bool]]:
+    """(text, how it ends, begins in lower case) of each piece of a paragraph in one record.
+
+    Pieces part at blank lines, and at a line set in further than the one before it where a sentence ends; never inside a
+    broken word.
+    """
+    lines, kept = text.split("\n"), dict(_proper(text, drop))
+    longest = max((len(x.strip()) for x in kept.values()), default=0)
+    pieces: list[tuple[list[str], set[int]]] = []
+    pos, last, broken = 0, None, False
+    for no, read, rest, _, token, second in _tokens(text, drop, after, joined):
+        part = last is None
+        if last is not None and no > last and not broken:
+            dent = [len(lines[n - 1].expandtabs()) - len(lines[n - 1].expandtabs().lstrip()) for n in (last, no)]
+            blank = any(not x.strip() for x in lines[last : no - 1])
+            part = blank or (dent[1] > dent[0] and pieces[-1][0][-1].rstrip("\"'”’)»").endswith(_STOPS))
+        if part:
+            pieces.append(([], set()))
+        last, broken = no, second is not None
+        pieces[-1][0].append(mended(read, rest, token, second, fixes.get(pos)) if read else token)
+        pieces[-1][1].add(no)
+        pos += bool(read)
+    out = []
+    for words, at in pieces:
+        end = CLOSED if words[-1].rstrip("\"'”’)»").endswith((*_STOPS, ":")) else OPEN
+        line = kept[min(at)].strip()
+        if end == OPEN and len(at) == 1 and (_NUMBERED.match(line) or len(line) < SHORT_LINE * longest):
+            end = HEADING
+        out.append((" ".join(words), end, core(words[0])[:1].islower()))
+    return out
+
+
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["record_id", "file", "page", "piece", "text", "ends", "small", "joined"]
+    for pdf in batches:
+        rows = []
+        for r, f, p, text, drop, after, joined, fixes in zip(*(pdf[c] for c in ("record_id", "file", "page", "text", "drop", "next_head", "joined", "fixes"))):
+            known = {} if fixes is None else {x["pos"]: x["fix"] for x in fixes}
+            for k, (t, ends, small) in enumerate(record_pieces(text, drop, after, bool(joined), known), 1):
+                rows.append((r, f, p, k, t, ends, small, bool(joined)))
+        yield pd.DataFrame(rows, columns=names)
+
+
+def tied_pieces(pieces: DataFrame) -> DataFrame:
+    """pieces with `start`: page, record and number of the piece that their paragraph starts with.
+
+    The first piece of a record goes on with the last one before it in the file where that one breaks off inside a word or
+    a sentence, or where it begins in lower case; headings stand alone. A file is taken in blocks of pages and the blocks'
+    ends are tied together.
+    """
+    rows = pieces.withColumn("block", F.floor(F.col("page") / PAGE_BLOCK).cast("int")).withColumn("at", F.struct("page", "record_id", "piece"))
+    along = Window.partitionBy("file").orderBy("block")
+    ends = rows.groupBy("file", "block").agg(F.max_by("ends", "at").alias("e")).select("file", "block", F.lag("e").over(along).alias("before"))
+    order = Window.partitionBy("file", "block").orderBy("at")
+    own = rows.withColumn("prev", F.lag("ends").over(order)).join(ends, ["file", "block"]).withColumn("prev", F.coalesce("prev", "before"))
+    goes_on = (F.col("piece") == 1) & F.col("prev").isNotNull() & (F.col("joined") | ((F.col("prev") == OPEN) & (F.col("ends") != HEADING)) | ((F.col("prev") != HEADING) & F.col("small")))
+    own = own.withColumn("own_start", F.when(~F.coalesce(goes_on, F.lit(False)), F.col("at")))
+    starts = own.groupBy("file", "block").agg(F.max("own_start").alias("s"))
+    starts = starts.select("file", "block", F.last("s", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("start_before"))
+    within = F.last("own_start", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    tied = own.withColumn("w", within).join(starts, ["file", "block"])
+    return tied.select("file", "page", "record_id", "piece", "text", F.coalesce("w", "start_before").alias("start"))
+
+
+def paragraphs(pages: DataFrame, images: DataFrame) -> DataFrame:
+    """(file, first_page, record_id, piece, last_page, text): the paragraphs of each file without furniture, with broken
+    words joined and misread words mended, over all pages. record_id and piece tell where a paragraph starts; in the order
+    of first_page, record_id, piece they are the file's text.
+    """
+    _, fixes, flow = repairs(pages, images)
+    by_record = fixes.groupBy("record_id").agg(F.collect_list(F.struct("pos", "fix")).alias("fixes"))
+    own = spread(flow.join(by_record, "record_id", "left")).select("record_id", "file", "page", "text", "drop", "next_head", "joined", "fixes")
+    pieces = own.mapInPandas(_pieces, "record_id string, file string, page int, piece int, text string, ends int, small boolean, joined boolean")
+    tied = tied_pieces(stage(pieces, "ocr-pieces"))
+    flowing = tied.groupBy("file", "start").agg(F.max("page").alias("last_page"), F.sort_array(F.collect_list(F.struct("page", "record_id", "piece", "text"))).alias("p"))
+    return flowing.select("file", F.col("start.page").alias("first_page"), F.col("start.record_id").alias("record_id"), F.col("start.piece").alias("piece"), "last_page", F.array_join(F.transform("p", lambda x: x.text), " ").alias("text"))

@@ -33,6 +33,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return ocr_repair.findings(table(spark, d, "pages"), table(spark, d, "images"))
 
 
+def p3_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return ocr_repair.paragraphs(table(spark, d, "pages"), table(spark, d, "images"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     groups = components.record_groups(table(spark, d, "similarity_results"), table(spark, d, "scan_documents"), P4_SCORE)
     return groups.where("members > 1").select("document_id", "group_id")

@@ -147,6 +147,19 @@ def test_ocr_findings(spark):
     assert not {k for k in got if k[0].startswith(("pG", "pH"))}
 
 
+@pytest.mark.parametrize("block", [2, 512])
+def test_ocr_paragraphs(spark, monkeypatch, block):
+    monkeypatch.setattr(ocr_repair, "PAGE_BLOCK", block)
+    told = "the first letter of page {n} says that the careful archive keeps several interesting letters about the harbour and long-term records while the last of page {n} names the archive, it is said, of year {n}"
+    more = [("K", 1, "1. Some Letters\n\nThe careful archive keeps several letters\nabout the harb0ur, (harb0ur) — and the sea.\n\nMany careful records and several letters of the"), ("K", 2, "Harbour.\n\n2. Heading"), ("K", 3, "Another archive keeps the records\nand stops!\n  It is said at last.\n    Long records are inter-"), ("K", 4, "esting,"), ("K", 5, "Words of the Archive name it.")]
+    got = ocr_repair.paragraphs(*page_table(spark, [*ocr_pages(), *more], [("F", 4, 1000, "Old harbour notes\n\nthe archive end-\n\n- 8 -"), ("F", 5, 1000, "Old harbour nofes\ning here is the careful archive\n- 9 -")])).collect()
+    assert [r["text"] for r in got if r["file"] == "F"] == [" ".join(told.format(n=n) for n in ("one", "two", "three")) + " the archive ending here is the careful archive"]
+    assert [(r["first_page"], r["last_page"], r["text"]) for r in sorted(got, key=lambda r: (r["first_page"], r["record_id"], r["piece"])) if r["file"] == "K"] == [
+        (1, 1, "1. Some Letters"), (1, 1, "The careful archive keeps several letters about the harbour, (harbour) — and the sea."), (1, 2, "Many careful records and several letters of the Harbour."), (2, 2, "2. Heading"),
+        (3, 3, "Another archive keeps the records and stops!"), (3, 3, "It is said at last."), (3, 5, "Long records are interesting, Words of the Archive name it."),
+    ]
+
+
 def test_ocr_empty(spark):
     assert ocr_repair.findings(*page_table(spark, [])).count() == 0
 
