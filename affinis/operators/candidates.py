@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinis.config import DEFAULT, SimilarityConfig
@@ -44,12 +44,23 @@ def pairs_in_buckets(rows: DataFrame, keys: list[str], ident: str, block: int =
     return left.join(right, [*keys, "_blk"]).where("a < b").select("a", "b").distinct()
 
 
+def set_key(values: Column) -> Column:
+    """Equal for equal sets only, in whatever order their values stand."""
+    return F.sha2(F.array_join(F.sort_array(values), "\x1f"), 256)
+
+
 def lsh_pairs(sigs: DataFrame, ident: str, config: SimilarityConfig = DEFAULT) -> DataFrame:
-    """(a, b) that share a band. Documents of equal signature share all bands: one of them stands for all, and the
-    others are tied to it, so copies of one text do not multiply."""
-    least = sigs.groupBy("sig").agg(F.min(ident).alias("_rep"))
-    ties = sigs.join(least, "sig").where((F.col(ident) != F.col("_rep")) & (F.size("sig") >= config.bands * config.rows) & (F.col("sig")[0] < hashing.EMPTY))
-    reps = least.select(F.col("_rep").alias(ident), "sig")
+    """(a, b) that share a band. sigs: ident, sig and set_key; without set_key no two rows count as copies.
+
+    Documents of equal sets share all bands: one of them stands for all, and the others are tied to it, so copies of one
+    text do not multiply. Different sets of equal signature each enter the buckets.
+    """
+    if "set_key" not in sigs.columns:
+        sigs = sigs.withColumn("set_key", F.col(ident).cast("string"))
+    least = sigs.groupBy("set_key").agg(F.min(ident).alias("_rep"))
+    usable = sigs.where((F.size("sig") >= config.bands * config.rows) & (F.col("sig")[0] < hashing.EMPTY))
+    ties = usable.select(ident, "set_key").join(least, "set_key").where(F.col(ident) != F.col("_rep"))
+    reps = usable.join(least.select("set_key", F.col("_rep").alias(ident)), ["set_key", ident], "left_semi").select(ident, "sig")
     between = pairs_in_buckets(band_rows(reps, ident, config), ["band", "key"], ident)
     return between.unionByName(ties.select(F.col("_rep").alias("a"), F.col(ident).alias("b")))
 
@@ -67,7 +78,8 @@ def hash_ties(feats: DataFrame, ident: str, hashes: tuple[str, ...] = ("sha", "n
 def candidates(feats: DataFrame, ident: str, config: SimilarityConfig = DEFAULT) -> DataFrame:
     """(a, b, is_exact): ties by hash, which are exact duplicates, and LSH pairs."""
     exact = hash_ties(feats, ident).withColumn("e", F.lit(1))
-    near = lsh_pairs(feats.select(ident, "sig"), ident, config).withColumn("e", F.lit(0))
+    keyed = [set_key(F.col("shingles")).alias("set_key")] if "shingles" in feats.columns else []
+    near = lsh_pairs(feats.select(ident, "sig", *keyed), ident, config).withColumn("e", F.lit(0))
     return exact.unionByName(near).groupBy("a", "b").agg((F.max("e") == 1).alias("is_exact"))
 
 

@@ -114,7 +114,7 @@ def fingerprints(s: SparkSession, d: str) -> DataFrame:
 
 
 def lsh_candidates(s: SparkSession, d: str) -> DataFrame:
-    f = stage(stage(_shingled(s, d), "shingles").select("doc_id", hashing.minhash(F.col("shingles")).alias("sig")), "signatures")
+    f = stage(stage(_shingled(s, d), "shingles").select("doc_id", C.set_key(F.col("shingles")).alias("set_key"), hashing.minhash(F.col("shingles")).alias("sig")), "signatures")
     return C.lsh_pairs(f, "doc_id").distinct()
 
 

@@ -28,17 +28,22 @@ def compare_new(fresh: DataFrame, known: DataFrame, config: SimilarityConfig = D
     """(documentAId, documentBId, similarityScore) of candidate pairs with a new document, a before b.
 
     fresh and known: documentId, sha, norm_hash, shingles, sig. Only pairs that touch a new document are generated: the
-    buckets of new documents meet those of all. Of documents with equal signatures one, an earlier one if there is any,
-    stands for all, and new ones are tied to it. Equal hashes score 1.
+    buckets of new documents meet those of all, hot ones in blocks. Of documents with equal sets one, an earlier one if
+    there is any, stands for all, and new ones are tied to it. Equal hashes score 1.
     """
     old = known.join(fresh.select("documentId"), "documentId", "left_anti")
     every = fresh.withColumn("late", F.lit(1)).unionByName(old.withColumn("late", F.lit(0)))
     filled = (F.size("sig") >= config.bands * config.rows) & (F.col("sig")[0] < EMPTY)
-    reps = every.where(filled).groupBy("sig").agg(F.min(F.struct("late", "documentId")).alias("r")).select("sig", "r.late", F.col("r.documentId").alias("rep"))
-    ties = fresh.join(reps, "sig").where(F.col("documentId") != F.col("rep")).select(F.col("rep").alias("x"), F.col("documentId").alias("y"))
-    new = C.band_rows(reps.where("late = 1").select(F.col("rep").alias("x"), "sig"), "x", config)
-    all_bands = C.band_rows(reps.select(F.col("rep").alias("y"), "sig"), "y", config)
-    near = new.join(all_bands, ["band", "key"]).where("x <> y").select("x", "y").unionByName(ties)
+    keyed = every.where(filled).select("documentId", "late", "sig", C.set_key(F.col("shingles")).alias("set_key"))
+    least = keyed.groupBy("set_key").agg(F.min(F.struct("late", "documentId")).alias("r")).select("set_key", F.col("r.documentId").alias("rep"))
+    ties = keyed.where("late = 1").join(least, "set_key").where(F.col("documentId") != F.col("rep")).select(F.col("rep").alias("x"), F.col("documentId").alias("y"))
+    reps = keyed.join(least.withColumnRenamed("rep", "documentId"), ["set_key", "documentId"], "left_semi")
+    new = C.band_rows(reps.where("late = 1").select(F.col("documentId").alias("x"), "sig"), "x", config)
+    all_bands = C.band_rows(reps.select(F.col("documentId").alias("y"), "sig"), "y", config)
+    blocks = all_bands.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / C.BLOCK).alias("nb"))
+    placed = all_bands.join(blocks, ["band", "key"]).select("band", "key", "y", F.pmod(F.xxhash64("y"), F.col("nb")).alias("blk"))
+    asking = new.join(blocks, ["band", "key"]).select("band", "key", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("blk"))
+    near = asking.join(placed, ["band", "key", "blk"]).where("x <> y").select("x", "y").unionByName(ties)
     exact = None
     for h in ("sha", "norm_hash"):
         part = fresh.select(F.col("documentId").alias("x"), h).join(every.groupBy(h).agg(F.min("documentId").alias("y")), h).where("x <> y").select("x", "y")

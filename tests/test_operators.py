@@ -35,6 +35,19 @@ def test_lsh_pairs(spark):
     assert {tuple(r) for r in C.lsh_pairs(s, "id", c).collect()} == {("d1", "d2")}
 
 
+def test_equal_signatures_of_different_sets(spark):
+    """Only equal sets stand for each other: b, with a's signature but another set, meets the near duplicate c too."""
+    from affinis.streaming import ingest
+
+    near = [1] * 4 + list(range(100, 224))
+    rows = [("a", ["p", "q"], [1] * 128), ("b", ["p", "r"], [1] * 128), ("c", ["r", "s"], near), ("d", ["r", "p"], [1] * 128)]
+    f = spark.createDataFrame([(i, None, None, v, s) for i, v, s in rows], "documentId string, sha string, norm_hash string, shingles array<string>, sig array<long>")
+    want = {("a", "b"), ("a", "c"), ("b", "c"), ("b", "d")}
+    assert {(r["a"], r["b"]) for r in C.candidates(f, "documentId").collect()} == want
+    assert {(r["documentAId"], r["documentBId"]) for r in ingest.compare_new(f, f.limit(0)).collect()} == want
+    assert {(r["documentAId"], r["documentBId"]) for r in ingest.compare_new(f.where("documentId in ('c', 'd')"), f.where("documentId in ('a', 'b')")).collect()} == {("a", "c"), ("b", "c"), ("b", "d")}
+
+
 def test_hash_candidates(spark):
     f = spark.createDataFrame([("a", "h", None, [1] * 128), ("b", "h", None, [2] * 128), ("c", None, None, [3] * 128)], "id string, sha string, norm_hash string, sig array<long>")
     assert [tuple(r) for r in C.candidates(f, "id").collect()] == [("a", "b", True)]
