@@ -100,6 +100,12 @@ def boilerplate_flags(s: SparkSession, d: str) -> DataFrame:
     return _docs(s, d).select("doc_id", text.is_boilerplate(line).alias("generic"))
 
 
+def boilerplate_lines(s: SparkSession, d: str) -> DataFrame:
+    """Every line of the documents that is not blank, by its number: a generic heading, without a content word, or neither."""
+    lines = spread(_docs(s, d).select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("i", "line"))
+    return lines.where(F.col("line").rlike(r"\S")).select("doc_id", (F.col("i") + 1).alias("line_no"), text.is_boilerplate(F.trim("line")).alias("generic"))
+
+
 # ---- fingerprints, candidates, set similarity
 
 
@@ -345,7 +351,7 @@ def upload_selection(s: SparkSession, d: str) -> DataFrame:
 
 
 _NAMES = (
-    "tokenize_stats text_statistics normalized_hashes shingle_counts fnv_hashes html_escaped safe_filenames cell_values sentence_segments sentence_overlap boilerplate_flags "
+    "tokenize_stats text_statistics normalized_hashes shingle_counts fnv_hashes html_escaped safe_filenames cell_values sentence_segments sentence_overlap boilerplate_flags boilerplate_lines "
     "minhash_signatures fingerprints lsh_candidates candidate_pairs candidate_stats jaccard_pairs containment_pairs minhash_estimates lsh_recall candidate_probability_curve ranked_pairs "
     "matching_passages passage_coverage scan_scores text_only_scores multimodal_scores fused_scores code_detection code_similarity table_similarity image_candidates image_copies ocr_gating scanned_files "
     "latest_documents stored_results document_averages duplicate_files dashboard_page ranked_results filtered_pairs score_categories evidence_summary report_summary report_top_pairs "

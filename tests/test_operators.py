@@ -223,6 +223,14 @@ def test_queries_run_and_have_sql(spark, data):
         assert q[name](spark, data).count() > 0
 
 
+def test_boilerplate_lines(spark, tmp_path):
+    from affinis.plans import queries
+
+    spark.createDataFrame([(1, "The harbour keeps letters\n\nIntroduction\r\nShips left the harbour early"), (2, "Introduction"), (3, None), (4, " \n")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in queries.queries()["boilerplate_lines"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 1, False), (1, 3, True), (1, 4, False), (2, 1, True)}
+
+
 def test_multimodal(spark):
     from affinis.operators import multimodal as M
 
