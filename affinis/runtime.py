@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -15,12 +16,13 @@ _STAGED: list[str] = []
 
 
 def staging_root(spark: SparkSession) -> str:
-    """Folder for staged tables: spark.checkpoint.dir where the cluster names one.
+    """Folder for staged tables: spark.checkpoint.dir, or the folder set with setCheckpointDir, where there is one.
 
-    Unset means a test or a laptop: in local mode a temporary folder is used, on a cluster a folder below the
+    Neither means a test or a laptop: in local mode a temporary folder is used, on a cluster a folder below the
     warehouse directory, which all executors share. The choice is kept in the session.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN_DIR, None)
+    set_dir = spark._jsc.sc().getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or (set_dir.get() if set_dir.isDefined() else None) or spark.conf.get(_OWN_DIR, None)
     if named is None:
         if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
             named = tempfile.mkdtemp(prefix="affinis-")
@@ -39,7 +41,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{staging_root(spark)}/affinis/{label}-{uuid.uuid4().hex}"
     _STAGED.append(path)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,14 +55,23 @@ def clear_staged(spark: SparkSession) -> int:
     return gone
 
 
-def partitions_of(df: DataFrame) -> int:
-    return df._jdf.queryExecution().toRdd().getNumPartitions()
+_SHUFFLES = re.compile(r"(?m)^[^A-Za-z]*(?:AdaptiveSparkPlan|(?:Broadcast)?Exchange)\b")
+
+
+def scan_tasks(df: DataFrame) -> int | None:
+    """Tasks of a plan that only scans, filters and projects; None for one with an exchange, which is not run to count."""
+    plan = df._jdf.queryExecution().executedPlan()
+    return None if _SHUFFLES.search(plan.toString()) else plan.execute().getNumPartitions()
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition an input of fewer tasks than cores, such as one small file; leave any other input as it is."""
+    """Repartition a scan of fewer tasks than cores, such as one small file; leave any other input as it is.
+
+    Behind an exchange adaptive execution chooses the tasks. No job is started.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if partitions_of(df) * 2 > cores:
+    tasks = scan_tasks(df)
+    if tasks is None or tasks * 2 > cores:
         return df
     return df.repartition(cores, *keys) if keys else df.repartition(cores)
 
