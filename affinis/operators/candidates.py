@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from affinis.config import DEFAULT, SimilarityConfig
 from affinis.functions import hashing, text
+from affinis.operators import prefix_join
 from affinis.runtime import spread, stage
 
 #: Rows that one task pairs with the rest of a bucket; larger buckets are split.
@@ -104,28 +105,19 @@ def set_scores(pairs: DataFrame, sets: DataFrame, ident: str, values: str = "shi
 
 
 def jaccard_pairs(sets: DataFrame, ident: str, values: str, threshold: float) -> DataFrame:
-    """(a, b, shared, jaccard) of every two sets at the threshold or above, by an inverted index.
+    """(a, b, shared, jaccard) of every two sets at the threshold or above, by a prefix-filtered join.
 
-    Equal sets are joined once and tied as a star. Of each set only the rarest n - ceil(t n) + 1 values are indexed: two
-    similar sets share one of them. threshold 0 indexes all values and gives every pair with something in common.
+    Equal sets are joined once and tied as a star. Values travel as 64-bit hashes. threshold 0 gives every pair with
+    something in common.
     """
     # the filter stays behind the staging: pushed below it, it would compute the sets once more
-    own = stage(sets.select(F.col(ident).alias("i"), F.sort_array(values).alias("v")), "jaccard-sets").where("size(v) > 0")
-    own = own.withColumn("k", F.sha2(F.array_join("v", "\x1f"), 256))
+    hashed = F.sort_array(F.array_distinct(F.transform(values, lambda x: F.xxhash64(x))))
+    own = stage(sets.select(F.col(ident).alias("i"), hashed.alias("vals"), F.unhex(set_key(F.col(values))).alias("k")), "jaccard-sets").where("size(vals) > 0")
     least = own.groupBy("k").agg(F.min("i").alias("r"))
-    ties = own.join(least, "k").where("i <> r").select(F.col("r").alias("a"), F.col("i").alias("b"))
-    reps = own.join(least.select("k", F.col("r").alias("i")), ["k", "i"]).select("i", "v")
-    rank = reps.select(F.explode("v").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("df"))
-    listed = reps.select("i", F.size("v").alias("n"), F.explode("v").alias("x")).join(rank, "x")
-    keep = F.col("n") - F.ceil(F.col("n") * F.lit(float(threshold)) - 1e-9).cast("int") + 1
-    prefix = listed.groupBy("i", "n").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("o")).select("i", "n", F.explode(F.slice("o", F.lit(1), F.least(keep, F.col("n")))).alias("e"))
-    idx = stage(prefix.where("e.df > 1").select("i", "n", F.col("e.x").alias("x"), F.ceil(F.col("e.df") / BLOCK).cast("int").alias("nb")), "jaccard-prefix")
-    left = idx.select("x", F.pmod(F.xxhash64("i"), F.col("nb").cast("long")).cast("int").alias("blk"), F.col("i").alias("a"), F.col("n").alias("na"))
-    right = idx.select("x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("blk"), F.col("i").alias("b"), F.col("n").alias("nb2"))
-    sized = F.least("na", "nb2") >= F.greatest("na", "nb2") * F.lit(float(threshold)) - 1e-9
-    hits = left.join(right, ["x", "blk"]).where((F.col("a") < F.col("b")) & sized).select("a", "b").distinct()
-    scored = set_scores(hits.unionByName(ties), own.select("i", "v"), "i", "v")
-    return scored.where(F.col("jaccard") >= F.lit(float(threshold)) - 1e-12).select("a", "b", "shared", "jaccard")
+    ties = own.select("i", "k", F.size("vals").cast("long").alias("shared")).join(least, "k").where("i <> r").select(F.col("r").alias("a"), F.col("i").alias("b"), "shared", F.lit(1.0).alias("jaccard"))
+    reps = own.join(least.select("k", F.col("r").alias("i")), ["k", "i"], "left_semi").select(F.col("i").alias("cls"), "vals")
+    near = prefix_join.similar_sets(reps, threshold, block=BLOCK).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), "shared", F.col("similarity").alias("jaccard"))
+    return near.unionByName(ties)
 
 
 def estimates(pairs: DataFrame, sigs: DataFrame, ident: str) -> DataFrame:
