@@ -2,90 +2,43 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.common import BLOCK_ROWS, WHITE, bucket_pairs
+from affinis.llm.common import WHITE, bucket_pairs
+from affinis.operators.prefix_join import similar_sets
 from affinis.runtime import spread, stage
 
+#: White space that has to be changed: any kind but a single blank.
+_UNTIDY = f"(?:(?! ){WHITE})|  "
+
 
 def squeezed(col: str) -> Column:
     """Distinct entries of an array lower-cased, trimmed, with white space squeezed; null and blank ones removed."""
-    tidy = F.transform(F.col(col), lambda x: F.trim(F.regexp_replace(F.lower(x), f"{WHITE}+", " ")))
+    tidy = F.transform(F.transform(F.col(col), F.lower), lambda x: F.trim(F.when(x.rlike(_UNTIDY), F.regexp_replace(x, f"{WHITE}+", " ")).otherwise(x)))
     return F.array_distinct(F.filter(tidy, lambda x: x.isNotNull() & (x != "")))
 
 
 def set_classes(records: DataFrame, ident: str, values: str) -> tuple[DataFrame, DataFrame]:
-    """(members, classes): records with equal sets share a class, named after its smallest ident.
+    """(members, classes): records with equal sets share a class.
 
-    members: ident, cls. classes: cls, members, vals (the sorted set). Empty and null sets are in no class.
+    members: ident, cls (a number), copies. classes: cls, head (the smallest ident), copies, vals (the sorted set). Empty
+    and null sets are in no class; an ident with several sets is in several classes.
     """
     sets = spread(records.select(ident, values)).select(F.col(ident), F.sort_array(squeezed(values)).alias("vals"))
-    keyed = stage(sets.withColumn("k", F.sha2(F.array_join("vals", "\x1f"), 256)), "sets").where("size(vals) > 0")
-    own = keyed.select("k", ident).distinct()
-    least = own.groupBy("k").agg(F.min(ident).alias("cls"), F.count(F.lit(1)).alias("members"))
-    members = own.join(least, "k").select(ident, "cls")
-    classes = keyed.join(least, (keyed.k == least.k) & (keyed[ident] == least.cls)).select("cls", "members", "vals").dropDuplicates(["cls"])
-    return stage(members, "set-members"), stage(classes, "set-classes")
-
+    keyed = sets.withColumn("k", F.unhex(F.sha2(F.array_join("vals", "\x1f"), 256))).withColumn("row", F.monotonically_increasing_id())
+    keyed = stage(keyed, "sets").where("size(vals) > 0")
+    own = keyed.groupBy("k", ident).agg(F.min("row").alias("row"))
+    least = own.groupBy("k").agg(F.min(F.struct(ident, "row")).alias("h"), F.count(F.lit(1)).alias("copies"))
+    members = stage(own.join(least, "k").select(ident, "row", F.col("h.row").alias("cls"), "copies"), "set-members")
+    heads = members.where("row = cls").select("row", F.col(ident).alias("head"), "copies")
+    classes = keyed.select("row", "vals").join(heads, "row").select(F.col("row").alias("cls"), "head", "copies", "vals")
+    return members.select(ident, "cls", "copies"), stage(classes, "set-classes")
 
-def _floor_at(x: Column) -> Column:
-    """Ceiling that ignores the last bits of a floating product."""
-    return F.ceil(x - F.lit(1e-9)).cast("int")
 
-
-def _prefixes(classes: DataFrame, ranks: DataFrame, threshold: float) -> DataFrame:
-    """(cls, n, tok, pos, df, probe, index): tokens of each set in order of rarity, cut to the longer probing prefix.
-
-    A set of n tokens probes with its n - ceil(t n) + 1 rarest; it needs to be indexed with the n - ceil(2t/(1+t) n) + 1
-    rarest only, since the smaller set of a pair is the indexed one.
-    """
-    tokens = classes.select("cls", F.size("vals").alias("n"), F.explode("vals").alias("tok"))
-    ordered = tokens.join(ranks, "tok").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("o"))
-    t = float(threshold)
-    probe = F.col("n") - _floor_at(F.col("n") * F.lit(t)) + 1
-    index = F.col("n") - _floor_at(F.col("n") * F.lit(2 * t / (1 + t))) + 1
-    cut = ordered.select("cls", "n", index.alias("ix"), F.posexplode(F.slice("o", F.lit(1), probe)).alias("pos", "e"))
-    return cut.select("cls", "n", "pos", F.col("e.tok").alias("tok"), F.col("e.df").alias("df"), (F.col("pos") < F.col("ix")).alias("indexed"))
-
-
-def similar_classes(left: DataFrame, threshold: float, right: DataFrame | None = None, block: int = BLOCK_ROWS) -> DataFrame:
-    """(cls_a, cls_b, similarity) for every two different sets with intersection / union >= threshold.
-
-    left and right are classes as of set_classes; without right the join is within left and cls_a < cls_b. Tokens are
-    ordered by rarity over all sets. A token of more than block sets is split: the indexed sets fall into blocks and
-    every probing set visits each block. Candidates pass the length filter and the positional bound and are verified
-    on the exact sets.
-    """
-    sides = left if right is None else left.select("cls", "vals").unionByName(right.select("cls", "vals"))
-    ranks = sides.select(F.explode("vals").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    # a token in one set only can't start a candidate, but keeps its place in the order
-    pre = stage(_prefixes(left, ranks, threshold).where("df > 1"), "prefixes")
-    other = pre if right is None else stage(_prefixes(right, ranks, threshold).where("df > 1"), "prefixes")
-    blocks = F.ceil(F.col("df") / F.lit(block)).cast("int")
-    at = F.pmod(F.xxhash64("cls"), blocks.cast("long")).cast("int")
-
-    def joined(index: DataFrame, probe: DataFrame, strict: bool) -> DataFrame:
-        i = index.where("indexed").select("tok", at.alias("blk"), F.col("cls").alias("i"), F.col("n").alias("ni"), F.col("pos").alias("pi"))
-        p = probe.select("tok", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("blk"), F.col("cls").alias("p"), F.col("n").alias("np"), F.col("pos").alias("pp"))
-        need = _floor_at((F.col("ni") + F.col("np")) * F.lit(threshold / (1 + threshold)))
-        longest = F.col("np") * F.lit(float(threshold)) - 1e-9 <= F.col("ni")
-        smaller = (F.col("ni") < F.col("np")) if strict else (F.col("ni") <= F.col("np"))
-        bound = F.least(F.col("ni") - F.col("pi"), F.col("np") - F.col("pp")) >= need
-        return i.join(p, ["tok", "blk"]).where(longest & smaller & bound).select("i", "p", "ni", "np")
-
-    if right is None:
-        hits = joined(pre, pre, False).where("ni < np or i < p").select(F.least("i", "p").alias("cls_a"), F.greatest("i", "p").alias("cls_b")).distinct()
-    else:
-        hits = joined(pre, other, False).select(F.col("i").alias("cls_a"), F.col("p").alias("cls_b"))
-        hits = hits.unionByName(joined(other, pre, True).select(F.col("p").alias("cls_a"), F.col("i").alias("cls_b"))).distinct()
-    a = left.select(F.col("cls").alias("cls_a"), F.col("vals").alias("va"))
-    b = (left if right is None else right).select(F.col("cls").alias("cls_b"), F.col("vals").alias("vb"))
-    both = F.size(F.array_intersect("va", "vb"))
-    checked = hits.join(a, "cls_a").join(b, "cls_b").select("cls_a", "cls_b", both.alias("o"), (F.size("va") + F.size("vb") - both).alias("u"))
-    return checked.where(F.col("o") >= F.col("u") * F.lit(float(threshold)) - 1e-9).select("cls_a", "cls_b", (F.col("o") / F.col("u")).alias("similarity"))
+def similar_classes(left: DataFrame, threshold: float, right: DataFrame | None = None, **kwargs: int) -> DataFrame:
+    """(cls_a, cls_b, similarity) for every two different sets with intersection / union >= threshold; see similar_sets."""
+    return similar_sets(left, threshold, right, **kwargs).select("cls_a", "cls_b", "similarity")
 
 
 def similar_set_pairs(records: DataFrame, ident: str, values: str, threshold: float) -> DataFrame:
@@ -96,7 +49,7 @@ def similar_set_pairs(records: DataFrame, ident: str, values: str, threshold: fl
     """
     members, classes = set_classes(records.where(F.col(ident).isNotNull()), ident, values)
     found = similar_classes(classes, threshold).select("cls_a", "cls_b")
-    same = bucket_pairs(members, ["cls"], ident).select(F.col(f"a_{ident}").alias(f"{ident}_a"), F.col(f"b_{ident}").alias(f"{ident}_b"))
+    same = bucket_pairs(members.where("copies > 1").select("cls", ident), ["cls"], ident).select(F.col(f"a_{ident}").alias(f"{ident}_a"), F.col(f"b_{ident}").alias(f"{ident}_b"))
     a = members.select(F.col("cls").alias("cls_a"), F.col(ident).alias("x"))
     b = members.select(F.col("cls").alias("cls_b"), F.col(ident).alias("y"))
     cross = found.join(a, "cls_a").join(b, "cls_b").where("x <> y").select(F.least("x", "y").alias(f"{ident}_a"), F.greatest("x", "y").alias(f"{ident}_b"))
@@ -121,13 +74,7 @@ def set_link_counts(records: DataFrame, ident: str, values: str, threshold: floa
     members, classes = set_classes(records.where(F.col(ident).isNotNull()), ident, values)
     found = similar_classes(classes, threshold).select("cls_a", "cls_b")
     ways = found.select(F.explode(F.array(F.struct(F.col("cls_a").alias("c"), F.col("cls_b").alias("o")), F.struct(F.col("cls_b").alias("c"), F.col("cls_a").alias("o")))).alias("e")).select("e.c", "e.o")
-    sizes = classes.select(F.col("cls").alias("o"), "members")
-    far = ways.join(sizes, "o").groupBy("c").agg(F.sum("members").alias("far"))
-    per = classes.select("cls", "members").join(far, F.col("cls") == F.col("c"), "left")
-    links = (F.col("members") - 1 + F.coalesce("far", F.lit(0))).cast("long")
-    return members.join(per.select("cls", F.col("members").alias("copies"), links.alias("links")), "cls").select(ident, F.col("cls").alias("class_id"), "copies", "links")
-
-
-def expected_prefix(n: int, threshold: float) -> int:
-    """Length of the probing prefix of a set of n values."""
-    return n - math.ceil(n * threshold - 1e-9) + 1
+    far = ways.join(classes.select(F.col("cls").alias("o"), "copies"), "o").groupBy(F.col("c").alias("cls")).agg(F.sum("copies").alias("far"))
+    per = classes.select("cls", "head", "copies").join(far, "cls", "left")
+    links = (F.col("copies") - 1 + F.coalesce("far", F.lit(0))).cast("long")
+    return members.select(ident, "cls").join(per.select("cls", "head", "copies", links.alias("links")), "cls").select(ident, F.col("head").alias("class_id"), "copies", "links")

@@ -54,10 +54,17 @@ def test_set_pairs_hot_token_in_blocks(spark):
     data = [(i, ["all", f"x{i}", f"y{i % 3}"]) for i in range(30)]
     df = spark.createDataFrame(data, "request_id long, shingles array<string>")
     _, classes = set_join.set_classes(df, "request_id", "shingles")
-    got = {(r["cls_a"], r["cls_b"]) for r in set_join.similar_classes(classes, 0.3, block=4).collect()}
+    head = {r["cls"]: r["head"] for r in classes.collect()}
+    got = {tuple(sorted((head[r["cls_a"]], head[r["cls_b"]]))) for r in set_join.similar_classes(classes, 0.3, block=4).collect()}
     assert got == set_brute({i: set(v) for i, v in data}, 0.3)
 
 
+def test_one_ident_with_several_sets(spark):
+    """Classes are told by their sets: an ident that is smallest in two of them names both, and neither loses links."""
+    df = spark.createDataFrame([(1, ["a", "b"]), (1, ["x", "y"]), (2, ["a", "b"]), (3, ["x", "y"])], "request_id long, shingles array<string>")
+    assert rows(set_join.similar_set_pairs(df, "request_id", "shingles", 0.9)) == {(1, 2), (1, 3)}
+
+
 def test_set_join_between_tables(spark):
     rng = random.Random(4)
     a = {i: {rng.choice(WORDS[:10]) for _ in range(rng.randrange(1, 6))} for i in range(20)}
