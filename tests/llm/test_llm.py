@@ -146,12 +146,12 @@ def ocr_pages():
 
 
 def test_ocr_findings(spark):
-    got = rows(ocr_repair.findings(*page_table(spark, [*ocr_pages(), ("H", 1, None), ("H", 2, " \n ")], [("F", 4, 1000, "Old harbour notes\n\nthe archive end-\n\n- 8 -"), ("F", 5, 1000, "Old harbour nofes\ning here is the careful archive\n- 9 -"), ("F", 5, 90, "Figure 1 Old")])))
+    got = rows(ocr_repair.findings(*page_table(spark, [*ocr_pages(), ("F", 4, None), ("F", 5, " "), ("H", 1, None), ("H", 2, " \n ")], [("H", 3, 2000, "Figure 2 Old"), ("F", 4, 1000, "Old harbour notes\n\nthe archive end-\n\n- 8 -"), ("F", 5, 1000, "Old harbour nofes\ning here is the careful archive\n- 9 -"), ("F", 5, 90, "Figure 1 Old")])))
     for n in (1, 2, 3):
         r = f"pF{n}"
         assert {k for k in got if k[0] == r} == {(r, 1, "running", ""), (r, 3, "hyphen", "interesting"), (r, 4, "misread", "harbour"), (r, 4, "hyphen", "long-term"), (r, 6, "misread", "archive"), (r, 8, "page_number", "")}
     assert ("iF4", 1, "running", "") in got and ("iF4", 5, "page_number", "") in got and ("iF4", 3, "hyphen", "ending") in got and ("iF5", 1, "running", "") in got
-    assert not {k for k in got if k[0].startswith(("pG", "pH"))}
+    assert not {k for k in got if k[0].startswith(("pG", "pH", "iH"))}
 
 
 @pytest.mark.parametrize("block", [2, 512])
@@ -159,7 +159,7 @@ def test_ocr_paragraphs(spark, monkeypatch, block):
     monkeypatch.setattr(ocr_repair, "PAGE_BLOCK", block)
     told = "the first letter of page {n} says that the careful archive keeps several interesting letters about the harbour and long-term records while the last of page {n} names the archive, it is said, of year {n}"
     more = [("K", 1, "1. Some Letters\n\nThe careful archive keeps several letters\nabout the harb0ur, (harb0ur) — and the sea.\n\nMany careful records and several letters of the"), ("K", 2, "Harbour.\n\n2. Heading"), ("K", 3, "Another archive keeps the records\nand stops!\n  It is said at last.\n    Long records are inter-"), ("K", 4, "esting,"), ("K", 5, "Words of the Archive name it.")]
-    got = ocr_repair.paragraphs(*page_table(spark, [*ocr_pages(), *more], [("F", 4, 1000, "Old harbour notes\n\nthe archive end-\n\n- 8 -"), ("F", 5, 1000, "Old harbour nofes\ning here is the careful archive\n- 9 -")])).collect()
+    got = ocr_repair.paragraphs(*page_table(spark, [*ocr_pages(), *more, ("F", 4, None), ("F", 5, None)], [("F", 4, 1000, "Old harbour notes\n\nthe archive end-\n\n- 8 -"), ("F", 5, 1000, "Old harbour nofes\ning here is the careful archive\n- 9 -")])).collect()
     assert [r["text"] for r in got if r["file"] == "F"] == [" ".join(told.format(n=n) for n in ("one", "two", "three")) + " the archive ending here is the careful archive"]
     assert [(r["first_page"], r["last_page"], r["text"]) for r in sorted(got, key=lambda r: (r["first_page"], r["record_id"], r["piece"])) if r["file"] == "K"] == [
         (1, 1, "1. Some Letters"), (1, 1, "The careful archive keeps several letters about the harbour, (harbour) — and the sea."), (1, 2, "Many careful records and several letters of the Harbour."), (2, 2, "2. Heading"),
@@ -179,7 +179,7 @@ def test_confusions_keep_the_shape(word, rng):
         at = word.find(right)
         if at >= 0:
             changed = word[:at] + read + word[at + len(right) :]
-            assert set(ocr_repair.delete_keys(word)) & set(ocr_repair.delete_keys(changed))
+            assert ocr_repair.delete_keys(word) & ocr_repair.delete_keys(changed)
             assert ocr_repair.misreading_cost(word, changed) <= ocr_repair.CONFUSED
 
 
@@ -189,8 +189,34 @@ def test_skeleton_in_engine(spark):
     assert [r[0] for r in df.collect()] == [ocr_repair.skeleton(w) for w in words]
 
 
-def test_letter_case():
-    assert ocr_repair.in_case_of("because", "8ecause", True) == "Because" and ocr_repair.in_case_of("belberg", "BEL6ERG", False) == "BELBERG" and ocr_repair.in_case_of("seen", "5een", False) == "seen"
+def test_letter_case(spark):
+    cases = [("because", "8ecause", True, "Because"), ("belberg", "BEL6ERG", False, "BELBERG"), ("seen", "5een", False, "seen"), ("seen", "Secn", None, "Seen")]
+    df = spark.createDataFrame(cases, "fix string, read string, up boolean, want string").select(ocr_repair.in_case_of(F.col("fix"), F.col("read"), F.col("up")), "want")
+    assert all(a == b for a, b in df.collect())
+    words = [("harb0ur", "harbour"), ("1752", None), ("a|l", "all"), ("h-2", None), ("word", None), ("59th5", None), ("pl4n", None)]
+    df = spark.createDataFrame(words, "w string, want string").select(ocr_repair.unread(F.col("w")), "want")
+    assert all(a == b for a, b in df.collect() if b is not None)
+
+
+def test_index_keys_in_engine(spark):
+    words = ["archive", "höhe", "16de", "the", "mcdern"]
+    df = spark.createDataFrame([(w,) for w in words], "w string").select(F.concat(ocr_repair.shape_keys(F.col("w")), ocr_repair.spelled_keys(F.col("w"))))
+    assert [set(r[0]) for r in df.collect()] == [ocr_repair.delete_keys(w) for w in words]
+    assert ocr_repair.delete_keys("höb") & ocr_repair.delete_keys("h6b")
+
+
+def test_prices():
+    cost = ocr_repair.misreading_cost
+    assert [cost("paper", x) for x in ("paper", "papcr", "papr", "paperr", "pader")] == [0.0, 0.25, 0.75, 0.75, 0.75]
+    assert cost("paper", "pxpr") > ocr_repair.MOST and cost("paper", "papc") > ocr_repair.MOST
+
+
+def test_inserted_lost_and_replaced_letters(spark):
+    """An edit that is no confusion is mended where the corpus has the correction between the same two words."""
+    lines = "\n".join("the careful archive keeps letters" for _ in range(60))
+    odd = ["the careful archve keeps letters", "the careful archixe keeps letters", "the careful archiive keeps letters", "the lonely archixo stands apart"]
+    found = ocr_repair.findings(*page_table(spark, [("M", 1, f"head\n{lines}\n" + "\n".join(odd) + "\ntail")]))
+    assert {(k[1], k[3]) for k in rows(found)} == {(62, "archive"), (63, "archive"), (64, "archive")}
 
 
 def test_roman_numbers(spark):
@@ -463,6 +489,12 @@ def test_queries_of_every_problem():
     assert {n.split("_")[0] for n in q} == {f"p{i}" for i in range(1, 10)} and set(oracle.oracle_sql()) <= set(q)
 
 
+def test_two_series_of_page_numbers(spark):
+    pages = [("S", n, f"{w} words of a page that stands alone\n\n{r}") for n, w, r in ((1, "some", "iii"), (2, "other", "iv"), (3, "more", "1"), (4, "few", "2"), (5, "last", "3"))]
+    got = rows(ocr_repair.findings(*page_table(spark, pages)))
+    assert {(k[0], k[2]) for k in got} == {(f"pS{n}", "page_number") for n in range(1, 6)}
+
+
 def test_files_in_blocks_of_pages(spark, monkeypatch):
     monkeypatch.setattr(ocr_repair, "PAGE_BLOCK", 2)
     outline = spark.createDataFrame([(f"r{n}", "F", n, f"head{n}", n % 2 == 0) for n in (1, 2, 3, 7, 8, 9)] + [("s1", "G", 1, "g", True)], "record_id string, file string, page int, head string, open boolean")
