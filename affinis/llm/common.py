@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from affinis.runtime import stage
+
 #: Members of a bucket that one task pairs with the bucket's rest; larger buckets are split into blocks of this size.
 BLOCK_ROWS = 2000
 
@@ -72,7 +74,6 @@ def _run_hashes(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     length = end - start
     if not len(start):
         return np.zeros(0, np.uint64)
-    at = np.zeros(len(cp), np.int64)
     total = int(length.sum())
     first = np.cumsum(length) - length
     idx = np.arange(total) - np.repeat(first - start, length)
@@ -83,7 +84,6 @@ def _run_hashes(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     part ^= part >> np.uint64(29)
     part *= _M2
     part ^= part >> np.uint64(32)
-    del at
     return mix64(np.add.reduceat(part, first) + length.astype(np.uint64))
 
 
@@ -96,10 +96,11 @@ def bucket_pairs(rows: DataFrame, keys: list[str], ident: str, extra: list[str]
 
     A bucket of n rows is cut into ceil(n / block) blocks of the left side, each joined with a copy of the right side
     in its own task, so a hot bucket is spread over the cluster and nothing is dropped. Buckets of one row vanish
-    before the join. where filters on the a_ and b_ columns inside the join.
+    before the join, and the rest is staged. where filters on the a_ and b_ columns inside the join.
     """
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     sized = rows.select(*keys, ident, *extra).join(counts, keys).withColumn("_nb", F.ceil(F.col("_n") / F.lit(block)).cast("int"))
+    sized = stage(sized, "bucket-rows")
     cols = [ident, *extra]
     left = sized.select(*keys, F.pmod(F.xxhash64(ident), F.col("_nb").cast("long")).cast("int").alias("_blk"), *[F.col(c).alias(f"a_{c}") for c in cols])
     right = sized.select(*keys, F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_blk"), *[F.col(c).alias(f"b_{c}") for c in cols])
