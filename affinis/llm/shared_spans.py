@@ -1,14 +1,15 @@
 """Problem 2: long spans that stand word for word in more than one record, by super-k-mer partitioning.
 
-A window is `width` code points. Consecutive windows of a text with the same minimiser (least hashed m-mer) travel as
-one packed string to the bucket of that minimiser. Equal packed strings are combined before they are shuffled further.
-In a bucket, sorting brings equal windows together, and a window counts as shared when its occurrences belong to two
-records or more.
+A window is `width` code points. Consecutive windows of a text with the same minimiser (least hashed m-mer) form one string
+that belongs to the bucket of that minimiser. A string met in two records is shared whole; only where a minimiser has
+different strings from different records do they travel, packed, to its bucket, where sorting brings equal windows together,
+and a window counts as shared when its occurrences belong to two records or more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -52,86 +53,143 @@ def window_minima(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
+def minimiser_size(width: int) -> int:
+    """Code points of a minimiser: MINIMISER, or half a window that is shorter than two of them."""
+    if width < 2:
+        raise ValueError(f"windows of {width} code points have no minimiser")
+    return min(MINIMISER, width // 2)
+
+
+def packed_runs(texts: list[str], width: int) -> Iterator[tuple[int, int, int, str]]:
+    """(text, start, minimiser hash, string) covering each window of the texts once."""
+    held: list[tuple[int, int, str]] = []
+    size = 0
+    for i, text in enumerate(texts):
+        for at in range(0, len(text) - width + 1, CHUNK):
+            held.append((i, at, text[at : at + CHUNK + width - 1]))
+            size += len(held[-1][2])
+            if size > CHUNK:
+                yield from _runs(held, width)
+                held, size = [], 0
+    if held:
+        yield from _runs(held, width)
+
+
+def _runs(pieces: list[tuple[int, int, str]], width: int) -> Iterator[tuple[int, int, int, str]]:
+    m = minimiser_size(width)
+    least = window_minima(rolling(code_points("".join(p for _, _, p in pieces)), m), width - m + 1)
+    sizes = np.array([len(p) for _, _, p in pieces])
+    first = np.cumsum(sizes) - sizes
+    own = np.zeros(len(least), bool)
+    for a, n in zip(first.tolist(), sizes.tolist()):
+        own[a : a + n - width + 1] = True
+    new = np.concatenate(([True], least[1:] != least[:-1]))
+    new[first] = True
+    ends = np.concatenate((new[1:] | ~own[1:], [True])) & own
+    lo, hi = np.flatnonzero(new & own), np.flatnonzero(ends) + 1
+    at = np.searchsorted(first, lo, side="right") - 1
+    for p, x, y, key in zip(at.tolist(), (lo - first[at]).tolist(), (hi - first[at]).tolist(), least[lo].view(np.int64).tolist()):
+        i, offset, piece = pieces[p]
+        for part in range(x, y, 4 * width):  # a long run of one minimiser is cut: repetitive texts give equal pieces
+            yield i, offset + part, key, piece[part : min(y, part + 4 * width) + width - 1]
+
+
 def super_kmers(text: str, width: int) -> Iterator[tuple[int, int, str]]:
-    """(start, minimiser hash, packed string) covering each window of the text once."""
-    for at in range(0, max(1, len(text) - width + 1), CHUNK):
-        piece = text[at : at + CHUNK + width - 1]
-        cp = code_points(piece)
-        if len(cp) < width:
-            return
-        least = window_minima(rolling(cp, MINIMISER), width - MINIMISER + 1)
-        cuts = np.concatenate(([0], np.flatnonzero(least[1:] != least[:-1]) + 1, [len(least)]))
-        keys = least.view(np.int64)
-        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            for part in range(lo, hi, 4 * width):  # a long run of one minimiser is cut: repetitive texts give equal pieces
-                end = min(hi, part + 4 * width)
-                yield at + part, int(keys[lo]), piece[part : end + width - 1]
+    """(start, minimiser hash, string) covering each window of one text once."""
+    return ((start, key, s) for _, start, key, s in packed_runs([text], width))
+
+
+def _key(s: str) -> bytes:
+    return blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def _pack(width: int):
+    """Places of the strings, their lengths and 128-bit keys; the strings themselves stay behind."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows: list[tuple] = []
-            held = 0
-            for ident, text in zip(pdf["ident"], pdf["t"]):
-                for start, key, s in super_kmers(text, width):
-                    rows.append((ident, start, key, s))
-                    held += len(s)
-                    if held > 4_000_000:
-                        yield pd.DataFrame(rows, columns=["ident", "start", "mini", "s"])
-                        rows, held = [], 0
-            yield pd.DataFrame(rows, columns=["ident", "start", "mini", "s"])
+            ids, keys = pdf["ident"].to_numpy(), list(pdf["tk"])
+            found = [(i, start, mini, _key(s), len(s)) for i, start, mini, s in packed_runs(list(pdf["t"]), width)]
+            if found:
+                i, start, mini, k, n = zip(*found)
+                yield pd.DataFrame({"ident": ids[list(i)], "tk": [keys[x] for x in i], "start": start, "mini": mini, "k": k, "len": n})
 
     return run
 
 
+def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The strings at the given places of each text; a text without them only shares the hash of the one that has them."""
+    names = ["mini", "k", "chars", "lo", "hi", "s"]
+    for pdf in batches:
+        rows, held = [], 0
+        for text, places in zip(pdf["t"], pdf["places"]):
+            for p in places:
+                s, k = text[p["start"] : p["start"] + p["len"]], bytes(p["k"])
+                if _key(s) == k:
+                    rows.append((p["mini"], k, p["chars"], p["lo"], p["hi"], s))
+                    held += p["len"]
+            if held > 4_000_000:
+                yield pd.DataFrame(rows, columns=names)
+                rows, held = [], 0
+        yield pd.DataFrame(rows, columns=names)
+
+
+def equal_windows(cp: np.ndarray, at: np.ndarray, heads: np.ndarray, width: int) -> bool:
+    """Whether the window at each place equals that at its head, code point by code point.
+
+    at is sorted. A window one further than the one before it, with a head one further as well, is equal if its last code
+    point is; only the others are compared whole.
+    """
+    if not len(at):
+        return True
+    follows = np.concatenate(([False], (at[1:] == at[:-1] + 1) & (heads[1:] == heads[:-1] + 1)))
+    if not (cp[at[follows] + width - 1] == cp[heads[follows] + width - 1]).all():
+        return False
+    a, b = at[~follows], heads[~follows]
+    views = np.lib.stride_tricks.sliding_window_view(cp, width)
+    return all((views[a[c : c + 20_000]] == views[b[c : c + 20_000]]).all() for c in range(0, len(a), 20_000))
+
+
 def shared_windows(strings: list[str], lo: np.ndarray, hi: np.ndarray, width: int) -> list[list[tuple[int, int]]]:
     """For each string, runs (first, end) of its windows that occur in two records or more.
 
     lo and hi are the numbers of the least and greatest record that hold a string. Windows are sorted by hash; equal
     hashes are confirmed code point by code point before they count.
     """
-    cps = [code_points(s) for s in strings]
-    cp = np.concatenate(cps)
-    sizes = np.array([len(c) - width + 1 for c in cps])
-    first = np.concatenate(([0], np.cumsum([len(c) for c in cps])[:-1]))
+    cp = code_points("".join(strings))
+    lengths = np.array([len(s) for s in strings])
+    sizes = lengths - width + 1
+    first = np.cumsum(lengths) - lengths
+    ends = np.cumsum(sizes)
     owner = np.repeat(np.arange(len(strings)), sizes)
-    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    h = np.concatenate([rolling(c, width) for c in cps])
-    pos = first[owner] + place
+    pos = np.arange(sizes.sum()) - np.repeat(ends - sizes, sizes) + first[owner]
+    h = rolling(cp, width)[pos]
     order = np.argsort(h, kind="stable")
     hs = h[order]
-    new = np.concatenate(([True], hs[1:] != hs[:-1]))
-    group = np.cumsum(new) - 1
-    heads = np.flatnonzero(new)
-    least = np.minimum.reduceat(lo[owner[order]], heads)
-    most = np.maximum.reduceat(hi[owner[order]], heads)
-    shared = (least != most)[group]
-    at = np.flatnonzero(shared)
-    ok = np.zeros(len(order), bool)
-    head_pos = pos[order[heads]]
-    views = np.lib.stride_tricks.sliding_window_view(cp, width)
-    bad_groups: set[int] = set()
-    for c in range(0, len(at), 20_000):
-        part = at[c : c + 20_000]
-        same = (views[pos[order[part]]] == views[head_pos[group[part]]]).all(axis=1)
-        ok[part] = True
-        bad_groups.update(group[part[~same]].tolist())
-    for g in bad_groups:  # a hash shared by different windows: settled on the windows themselves
-        inside = np.flatnonzero(group == g)
+    heads = np.flatnonzero(np.concatenate(([True], hs[1:] != hs[:-1])))
+    group = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(hs))))
+    least, most = np.minimum.reduceat(lo[owner[order]], heads), np.maximum.reduceat(hi[owner[order]], heads)
+    flag, head = np.zeros(len(order), bool), np.zeros(len(order), np.int64)
+    flag[order] = (least != most)[group]
+    head[order] = pos[order[heads]][group]
+    if not equal_windows(cp, pos[flag], head[flag], width):  # a hash shared by different windows: settled on the windows
+        views = np.lib.stride_tricks.sliding_window_view(cp, width)
         by: dict[bytes, list[int]] = {}
-        for i in inside.tolist():
-            by.setdefault(views[pos[order[i]]].tobytes(), []).append(i)
-        for same_window in by.values():
-            o = owner[order[same_window]]
-            ok[same_window] = lo[o].min() != hi[o].max()
-    flag = np.zeros(len(order), bool)
-    flag[order] = ok
-    runs: list[list[tuple[int, int]]] = []
-    ends = np.cumsum(sizes)
-    for k, n in enumerate(sizes):
-        f = np.diff(np.concatenate(([False], flag[ends[k] - n : ends[k]], [False])).astype(np.int8))
-        runs.append(list(zip(np.flatnonzero(f == 1).tolist(), np.flatnonzero(f == -1).tolist())))
+        for i in np.flatnonzero(flag).tolist():
+            by.setdefault(views[pos[i]].tobytes(), []).append(i)
+        for same in by.values():
+            o = owner[same]
+            flag[same] = lo[o].min() != hi[o].max()
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], flag, [False])).astype(np.int8)))
+    # runs end with their string
+    cuts = np.unique(np.concatenate((edge, ends[:-1], [0])))
+    cuts = cuts[cuts < len(flag)]
+    runs: list[list[tuple[int, int]]] = [[] for _ in strings]
+    for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(flag)).tolist()):
+        if flag[a]:
+            k = int(owner[a])
+            base = int(ends[k] - sizes[k])
+            runs[k].append((a - base, b - base))
     return runs
 
 
@@ -152,29 +210,38 @@ def shared_spans(items: DataFrame, ident: str = "item_id", text: str = "text", w
     """(ident, span_start, span_end): maximal runs of characters inside windows that also occur in another record.
 
     Characters are code points compared as stored. Null texts and texts shorter than width have no span; records of
-    equal ident count as one record. The distinct strings of a minimiser whose packed text exceeds half a bucket are
-    taken apart into whole windows, which the engine groups by a 256-bit hash instead of in one task.
+    equal ident count as one record. The different strings of a minimiser whose text exceeds half a bucket are taken apart
+    into whole windows, which the engine groups by a 256-bit hash instead of in one task.
     """
+    minimiser_size(width)
     kind = dict(items.dtypes)[ident]
-    rows = spread(items.select(F.col(ident).alias("ident"), F.col(text).alias("t"))).where(F.col("ident").isNotNull() & (F.length("t") >= width))
-    packed = rows.mapInPandas(_pack(width), f"ident {kind}, start bigint, mini bigint, s string")
-    packed = stage(packed.select("ident", "start", "mini", "s", F.length("s").alias("len"), F.unhex(F.md5("s")).alias("k")), "super-kmers")
-    # minimisers met in one record only hold no shared window, so their strings travel no further
-    load = stage(packed.groupBy("mini").agg(F.sum("len").alias("chars"), F.min("ident").alias("a"), F.max("ident").alias("b")).where("a <> b").select("mini", "chars"), "loads")
-    total = load.agg(F.coalesce(F.sum("chars"), F.lit(0))).first()[0]
+    told = items.select(F.col(ident).alias("ident"), F.col(text).alias("t")).where(F.col("ident").isNotNull() & (F.length("t") >= width))
+    texts = spread(told).select("ident", F.xxhash64("t").alias("tk"), "t")
+    packed = texts.mapInPandas(_pack(width), f"ident {kind}, tk bigint, start bigint, mini bigint, k binary, len int")
+    packed = stage(packed.withColumn("row", F.monotonically_increasing_id()), "super-kmers")
+    strings = stage(packed.groupBy("mini", "k").agg(F.min("ident").alias("lo"), F.max("ident").alias("hi"), F.min("row").alias("row"), F.max("len").alias("len")), "strings")
+    # minimisers met in one record only hold no shared window; one string in two records is shared whole
+    load = strings.groupBy("mini").agg(F.sum("len").alias("chars"), F.min("lo").alias("a"), F.max("hi").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b")
+    load = stage(load.select("mini", "chars", "n"), "loads")
+    whole = strings.join(load.where("n = 1").select("mini"), "mini", "left_semi").select("k", F.lit(0).cast("bigint").alias("first"), (F.col("len") - width + 1).cast("bigint").alias("end"))
+    total, most = load.where("n > 1").agg(F.coalesce(F.sum("chars"), F.lit(0)), F.coalesce(F.max("chars"), F.lit(0))).first()
     buckets = max(1, -(-total // BUCKET_CHARS))
-    # joined and combined on the minimiser, the strings are shuffled once
-    live = packed.select("ident", "mini", "s", "k").join(load, "mini").groupBy("mini", "k", "chars").agg(F.first("s").alias("s"), F.min("ident").alias("lo"), F.max("ident").alias("hi"))
+    asked = strings.join(load.where("n > 1").select("mini", "chars"), "mini").select("row", "mini", "k", "chars", "lo", "hi")
+    places = packed.select("row", "ident", "tk", "start", "len").join(asked, "row")
+    places = places.groupBy("ident", "tk").agg(F.collect_list(F.struct("start", "len", "mini", "k", "chars", "lo", "hi")).alias("places"))
+    live = texts.join(places, ["ident", "tk"]).select("t", "places").mapInPandas(_cut, f"mini bigint, k binary, chars bigint, lo {kind}, hi {kind}, s string")
+    if most > BUCKET_CHARS // 2:
+        live = stage(live, "live-strings")
     cool = live.where(F.col("chars") <= BUCKET_CHARS // 2)
-    spec = "k binary, first bigint, end bigint"
-    counted = cool.select("k", "s", "lo", "hi", "mini", F.pmod(F.xxhash64("mini"), F.lit(buckets)).alias("bucket")).groupBy("bucket").applyInPandas(_count_bucket(width), spec)
-    hot = live.where(F.col("chars") > BUCKET_CHARS // 2)
-    places = hot.select("k", "lo", "hi", "s", F.explode(F.sequence(F.lit(1), F.length("s") - width + 1)).alias("p"))
-    windows = places.select("k", "p", "lo", "hi", F.sha2(F.substring("s", F.col("p"), F.lit(width)), 256).alias("w"))
-    twice = windows.groupBy("w").agg(F.min("lo").alias("x"), F.max("hi").alias("y")).where("x <> y").select("w")
-    single = windows.join(twice, "w").select("k", (F.col("p") - 1).cast("bigint").alias("first"), F.col("p").cast("bigint").alias("end"))
-    runs = counted.unionByName(single)
-    spans = packed.select("k", "ident", "start").join(runs, "k").select("ident", (F.col("start") + F.col("first")).alias("b"), (F.col("start") + F.col("end") - 1 + width).alias("e"))
+    counted = cool.select("k", "s", "lo", "hi", "mini", F.pmod(F.xxhash64("mini"), F.lit(buckets)).alias("bucket")).groupBy("bucket").applyInPandas(_count_bucket(width), "k binary, first bigint, end bigint")
+    runs = whole.unionByName(counted)
+    if most > BUCKET_CHARS // 2:
+        hot = live.where(F.col("chars") > BUCKET_CHARS // 2)
+        split = hot.select("k", "lo", "hi", "s", F.explode(F.sequence(F.lit(1), F.length("s") - width + 1)).alias("p"))
+        windows = split.select("k", "p", "lo", "hi", F.sha2(F.substring("s", F.col("p"), F.lit(width)), 256).alias("w"))
+        twice = windows.groupBy("w").agg(F.min("lo").alias("x"), F.max("hi").alias("y")).where("x <> y").select("w")
+        runs = runs.unionByName(windows.join(twice, "w").select("k", (F.col("p") - 1).cast("bigint").alias("first"), F.col("p").cast("bigint").alias("end")))
+    spans = packed.select("k", "ident", "start").join(runs.distinct(), "k").select("ident", (F.col("start") + F.col("first")).alias("b"), (F.col("start") + F.col("end") - 1 + width).alias("e"))
     order = Window.partitionBy("ident").orderBy("b", "e")
     reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = spans.withColumn("new", (reach.isNull() | (F.col("b") > reach)).cast("int")).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))

@@ -116,6 +116,19 @@ def test_span_amounts(spark):
     assert shared_spans.shared_spans(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("width", [2, 20, 33])
+def test_short_windows(spark, width):
+    texts = {i: "".join(RNG.choice("abcdefgh") for _ in range(80)) for i in range(4)} | {9: "xyz" * 12}
+    texts[7] = texts[1][10:55]
+    df = spark.createDataFrame(list(texts.items()), "item_id long, text string")
+    assert rows(shared_spans.shared_spans(df, width=width)) == span_brute(texts, width)
+
+
+def test_window_width_is_checked(spark):
+    with pytest.raises(ValueError):
+        shared_spans.shared_spans(spark.createDataFrame([(1, "a")], "item_id long, text string"), width=1)
+
+
 def test_super_kmers_cover_every_window_once(monkeypatch):
     monkeypatch.setattr(shared_spans, "CHUNK", 300)
     text = "".join(RNG.choice("abc") for _ in range(1500)) + "z" * 700
