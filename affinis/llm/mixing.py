@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import base64
 import importlib.util
+import math
 import os
 import re
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +21,9 @@ from affinis.runtime import broadcast_if, spread, stage
 TOKENIZERS, RANKS = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 _SPACED = re.compile(r"\s | \s|\A\s|\s\Z")
 #: Points of each calibration pass and number of passes: rates are resolved to 1 / POINTS ** PASSES of their range.
-POINTS, PASSES = 24, 4
+POINTS, PASSES = 256, 3
+#: Least and greatest bytes of text in a task of the global shuffle, and the tasks kept to while the size lies between.
+TASK_BYTES, TASK_BYTES_MOST, TASKS = 16 << 20, 512 << 20, 100_000
 
 
 @cache
@@ -74,67 +78,110 @@ def _counts(folder: str, ranks: str) -> _Counts:
 
 
 def token_counts(docs: DataFrame, ident: str, text: str, keep: list[str], folder: str = TOKENIZERS, ranks: str = RANKS) -> DataFrame:
-    """ident, the kept columns and tokens."""
+    """ident, the kept columns, tokens, and the bytes of the text."""
 
     @F.pandas_udf("bigint")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
             yield pd.Series(count_tokens(list(b), folder, ranks))
 
-    return spread(docs.select(ident, *keep, F.col(text).alias("_t"))).select(ident, *keep, count("_t").alias("tokens"))
+    return spread(docs.select(ident, *keep, F.col(text).alias("_t"))).select(ident, *keep, count("_t").alias("tokens"), F.octet_length("_t").cast("long").alias("_bytes"))
 
 
-def poisson_copies(unit: Column, rate: Column, cap: Column, most: int) -> Column:
-    """Inverse of the Poisson distribution at unit, cut at cap: the number of k < cap with CDF(k) <= unit."""
-    term = F.exp(-rate)
-    total, copies = term, F.lit(0)
-    for k in range(most):
-        copies = copies + F.when((F.lit(k) < cap) & (total <= unit), 1).otherwise(0)
-        term = term * rate / F.lit(float(k + 1))
-        total = total + term
-    return copies
+def poisson_copies(unit: Column, rate: Column, cap: Column) -> Column:
+    """Inverse of the Poisson distribution at unit, cut at cap: the number of k < cap with CDF(k) <= unit.
+
+    The expression is as long for any cap; terms are summed from their logarithms, so high rates do not vanish.
+    """
+    start = F.struct((-rate).alias("log"), F.lit(0.0).alias("cdf"), F.lit(0).alias("n"))
+
+    def step(acc: Column, k: Column) -> Column:
+        cdf = acc.cdf + F.exp(acc.log)
+        return F.struct((acc.log + F.log(rate / (k + 1))).alias("log"), cdf.alias("cdf"), (acc.n + F.when(cdf <= unit, 1).otherwise(0)).alias("n"))
+
+    return F.when((rate > 0) & (cap > 0), F.aggregate(F.sequence(F.lit(0), cap - 1), start, step, lambda acc: acc.n)).otherwise(0)
+
+
+def _cdfs(grid: np.ndarray, cap: int) -> Iterator[np.ndarray]:
+    """CDF(k) of every rate of the grid for k = 0 .. cap - 1."""
+    with np.errstate(divide="ignore"):
+        rates = np.log(grid)
+    log, total = -grid, np.zeros(len(grid))
+    for k in range(cap):
+        total = total + np.exp(log)
+        yield total
+        log = log + rates - math.log(k + 1)
+
+
+def _grid(lo: float, hi: float) -> np.ndarray:
+    return lo + (hi - lo) * np.arange(POINTS + 1) / POINTS
+
+
+def _steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """source, bin, tokens: what documents add to their source at each point of its grid of rates.
+
+    A document has one copy more from the least rate on at which CDF(k) falls to its draw.
+    """
+    for pdf in batches:
+        for source, own in pdf.groupby("source", sort=False):
+            u, tokens = own["u"].to_numpy(), own["tokens"].to_numpy(float)
+            sums = np.zeros(POINTS + 2)
+            for cdf in _cdfs(_grid(own["lo"].iloc[0], own["hi"].iloc[0]), int(own["cap"].iloc[0])):
+                at = POINTS + 1 - np.searchsorted(cdf[::-1], u, side="right")
+                sums += np.bincount(at, weights=tokens, minlength=POINTS + 2)
+            filled = np.flatnonzero(sums[: POINTS + 1])
+            yield pd.DataFrame({"source": source, "bin": filled.astype(np.int32), "tokens": sums[filled]})
+
+
+_STATE = "source string, cap int, want double, lo double, hi double, below double, above double"
+
+
+def _narrowed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The step of each source's grid on which its tokens reach what is wanted, and its tokens before and after."""
+    names = [x.split()[0] for x in _STATE.split(", ")]
+    for pdf in batches:
+        rows = []
+        for source, cap, want, lo, hi, bins in zip(*(pdf[c] for c in (*names[:5], "bins"))):
+            sums = np.zeros(POINTS + 1)
+            for x in bins if bins is not None else ():
+                sums[x["bin"]] += x["tokens"]
+            sums, grid = np.cumsum(sums), _grid(lo, hi)
+            i = max(1, min(POINTS, int(np.searchsorted(sums, want, side="left"))))
+            rows.append((source, cap, want, grid[i - 1], grid[i], sums[i - 1], sums[i]))
+        yield pd.DataFrame(rows, columns=names).astype({"cap": "int32"})
 
 
 def _unit(ident: str, seed: int) -> Column:
     return (F.shiftright(F.xxhash64(ident, F.lit(seed)), 11).bitwiseAND(F.lit((1 << 52) - 1)) + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def mixing_plan(sized: DataFrame, targets: DataFrame, ident: str, total: float | None = None, seed: int = 3) -> tuple[DataFrame, list[dict]]:
-    """Documents with their source's rate, and for each target its calibrated rate.
+def mixing_plan(sized: DataFrame, targets: DataFrame, ident: str, total: float | None = None, seed: int = 3) -> DataFrame:
+    """(source, cap, want, rate): the calibrated rate of every target source that has tokens.
 
     sized: ident, source, tokens. Without total, the mixture is as large as it can be with every source that has tokens
     filling its share within its cap. A document's copies never fall as the rate rises, so the realised tokens of a
     source are a rising step function of its rate; passes over a grid of rates narrow each rate down to the step that
-    is nearest to the target, and only sums for each source reach the driver.
+    is nearest to the target. Workers add up steps by source; sources stay distributed, only the total is read.
     """
-    goals = targets.where("source is not null and target_share > 0 and max_repeats >= 1").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    rows = goals.collect()  # one row for each source named in the targets
-    have = {r["source"]: r["n"] or 0 for r in sized.join(broadcast_if(goals.select("source"), 100_000), "source").groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
-    plan = [{"source": r["source"], "share": r["target_share"], "cap": int(r["max_repeats"]), "have": int(have.get(r["source"], 0))} for r in rows]
-    fillable = [p for p in plan if p["have"] > 0]
+    goals = targets.where("source is not null and target_share > 0 and max_repeats >= 1").groupBy("source").agg(F.sum("target_share").alias("share"), F.max("max_repeats").cast("int").alias("cap"))
+    have = sized.groupBy("source").agg(F.sum("tokens").alias("have")).where("have > 0")
+    plan = stage(goals.join(have, "source"), "mix-plan")
     if total is None:
-        total = min((p["cap"] * p["have"] / p["share"] for p in fillable), default=0.0)
-    most = max((p["cap"] for p in plan), default=1)
-    for p in plan:
-        p |= {"want": p["share"] * total, "lo": 0.0, "hi": p["cap"] + 12.0 * p["cap"] ** 0.5 + 40.0 if p["have"] else 0.0}
-    spark = sized.sparkSession
-    docs = sized.join(broadcast_if(goals.select("source", F.col("max_repeats").cast("int").alias("cap")), 100_000), "source").withColumn("u", _unit(ident, seed))
+        total = plan.agg(F.min(F.col("cap") * F.col("have") / F.col("share"))).first()[0] or 0.0
+    highest = F.col("cap") + 12.0 * F.sqrt("cap") + 40.0
+    state = plan.select("source", "cap", (F.col("share") * F.lit(float(total))).alias("want"), F.lit(0.0).alias("lo"), highest.alias("hi"), F.lit(0.0).alias("below"), F.lit(0.0).alias("above"))
+    draws = sized.select("source", "tokens", _unit(ident, seed).alias("u"))
     for _ in range(PASSES):
-        if not fillable:
-            break
-        grid = spark.createDataFrame([(p["source"], [p["lo"] + (p["hi"] - p["lo"]) * i / POINTS for i in range(POINTS + 1)]) for p in fillable], "source string, grid array<double>")
-        sums = [F.sum(F.col("tokens") * poisson_copies(F.col("u"), F.col("grid")[i], F.col("cap"), most)).alias(f"s{i}") for i in range(POINTS + 1)]
-        got = {r["source"]: r for r in docs.join(F.broadcast(grid) if len(fillable) <= 100_000 else grid, "source").groupBy("source").agg(*sums).collect()}
-        for p in fillable:
-            s, at = got[p["source"]], [p["lo"] + (p["hi"] - p["lo"]) * i / POINTS for i in range(POINTS + 1)]
-            i = next((i for i in range(POINTS + 1) if s[f"s{i}"] >= p["want"]), POINTS)
-            if s[f"s{max(i - 1, 0)}"] >= p["want"] or i == 0:
-                i = max(i, 1)
-            p |= {"lo": at[i - 1], "hi": at[i], "below": s[f"s{i - 1}"], "above": s[f"s{i}"]}
-    for p in plan:
-        near = p.get("below", 0) if abs(p.get("below", 0) - p["want"]) < abs(p.get("above", 0) - p["want"]) else None
-        p["rate"] = p["lo"] if near is not None else p["hi"]
-    return docs, plan
+        steps = draws.join(broadcast_if(state.select("source", "cap", "lo", "hi"), 100_000), "source").mapInPandas(_steps, "source string, bin int, tokens double")
+        bins = steps.groupBy("source", "bin").agg(F.sum("tokens").alias("tokens")).groupBy("source").agg(F.collect_list(F.struct("bin", "tokens")).alias("bins"))
+        state = stage(state.join(bins, "source", "left").mapInPandas(_narrowed, _STATE), "mix-rates")
+    nearer = F.abs(F.col("below") - F.col("want")) < F.abs(F.col("above") - F.col("want"))
+    return state.select("source", "cap", "want", F.when(nearer, F.col("lo")).otherwise(F.col("hi")).alias("rate"))
+
+
+def shuffle_tasks(size: int) -> int:
+    """Tasks for so many bytes of mixed text: by the data alone, so that equal data give equal corpora on any cluster."""
+    return max(1, -(-size // min(max(size // TASKS, TASK_BYTES), TASK_BYTES_MOST)))
 
 
 def mixture(docs: DataFrame, targets: DataFrame, ident: str = "doc_id", text: str = "text", total: float | None = None, seed: int = 3, folder: str = TOKENIZERS, ranks: str = RANKS) -> DataFrame:
@@ -146,10 +193,10 @@ def mixture(docs: DataFrame, targets: DataFrame, ident: str = "doc_id", text: st
     ordered within it by another hash, so equal seeds give equal corpora.
     """
     drawn = _drawn(_sized(docs, ident, text, [text], folder, ranks), targets, ident, total, seed)
+    size = drawn.agg(F.coalesce(F.sum(F.col("_bytes") * F.col("copies")), F.lit(0))).first()[0]
     mixed = drawn.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spot = lambda k: F.xxhash64(ident, "copy_no", F.lit(seed + k))
-    return mixed.repartition(parts, spot(1)).sortWithinPartitions(spot(2), ident, "copy_no").select(ident, "source", "copy_no", "tokens", text)
+    return mixed.repartition(shuffle_tasks(size), spot(1)).sortWithinPartitions(spot(2), ident, "copy_no").select(ident, "source", "copy_no", "tokens", text)
 
 
 def _sized(docs: DataFrame, ident: str, text: str, keep: list[str], folder: str, ranks: str) -> DataFrame:
@@ -160,10 +207,8 @@ def _sized(docs: DataFrame, ident: str, text: str, keep: list[str], folder: str,
 
 def _drawn(sized: DataFrame, targets: DataFrame, ident: str, total: float | None, seed: int) -> DataFrame:
     """Documents with their number of copies, those with none left out."""
-    docs, plan = mixing_plan(sized, targets, ident, total, seed)
-    rates = sized.sparkSession.createDataFrame([(p["source"], p["rate"]) for p in plan], "source string, rate double")
-    most = max((p["cap"] for p in plan), default=1)
-    return docs.join(broadcast_if(rates, 100_000), "source").withColumn("copies", poisson_copies(F.col("u"), F.col("rate"), F.col("cap"), most)).where("copies > 0")
+    rates = mixing_plan(sized, targets, ident, total, seed).select("source", "cap", "rate")
+    return sized.join(broadcast_if(rates, 100_000), "source").withColumn("copies", poisson_copies(_unit(ident, seed), F.col("rate"), F.col("cap"))).where("copies > 0")
 
 
 def mixture_shares(docs: DataFrame, targets: DataFrame, ident: str = "doc_id", text: str = "text", total: float | None = None, seed: int = 3, folder: str = TOKENIZERS, ranks: str = RANKS) -> DataFrame:

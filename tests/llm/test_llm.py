@@ -459,6 +459,29 @@ def test_mixture(spark):
     assert mixing.mixture(d.limit(0), t).count() == 0 and mixing.mixture(d, t.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rate", [0.0, 0.3, 2.5, 90.0, 900.0])
+def test_poisson_inverse(spark, rate):
+    """At a high cap the expression is no longer, and agrees with sums of the distribution."""
+    from math import exp, lgamma, log
+
+    units = [0.001, 0.2, 0.5, 0.9, 0.9999]
+    df = spark.createDataFrame([(u, rate) for u in units], "u double, r double").select(mixing.poisson_copies(F.col("u"), F.col("r"), F.lit(1000)))
+    cdf = np.cumsum([exp(-rate + k * log(rate) - lgamma(k + 1)) for k in range(1000)]) if rate else np.ones(1000)
+    assert [r[0] for r in df.collect()] == [int((cdf <= u).sum()) for u in units]
+
+
+def test_shares_at_a_high_cap(spark):
+    """Shares come within a hundredth of the target, with a source of a third of all tokens and a cap of 100."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word " * 20), F.col("id").cast("string")).alias("text"), F.when(F.col("id") < 1000, "hot").when(F.col("id") < 2950, "mid").otherwise("tiny").alias("source"))
+    targets = spark.createDataFrame([("hot", 0.2, 1), ("mid", 0.3, 2), ("tiny", 0.5, 100)], "source string, target_share double, max_repeats int")
+    for r in mixing.mixture_shares(docs, targets).collect():
+        assert abs(r["actual_share"] - r["target_share"]) <= 0.01 and r["most_repeats"] <= r["max_repeats"]
+
+
+def test_tasks_of_the_shuffle():
+    assert [mixing.shuffle_tasks(n) for n in (0, 1, 100 << 20, 1 << 40, 100 << 40)] == [1, 1, 7, 65536, 204800]
+
+
 def test_given_total_beyond_the_caps(spark):
     d, t = mix_tables(spark)
     shares = {r["source"]: r for r in mixing.mixture_shares(d, t, total=1e9).collect()}
