@@ -18,13 +18,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.common import folded, mix64, to_signed, word_hashes
+from affinis.llm.common import folded, mix64, word_hashes
 from affinis.runtime import spread, stage
 
 #: Places sampled for one key, and tables that share a walk.
 SAMPLE, PER_WALK = 6, 4
-#: Items are held by every task up to this many characters; beyond it windows and items meet in a shuffled join.
-INDEX_CHARS = 4_000_000
+#: Items are taken in blocks of so many characters; each block is indexed, held by every task and searched for in the whole
+#: corpus. Walks after which a recall that is not reached is refused.
+INDEX_CHARS, MAX_WALKS = 1_000_000, 64
 #: Windows embedded at once, and characters of text tokenised at once.
 SLICE, BATCH_CHARS = 1 << 16, 1_500_000
 
@@ -59,7 +60,10 @@ def walk_bits(words: np.ndarray, walk: int, seed: int) -> np.ndarray:
 
 
 def walks_needed(width: int, edits: int, recall: float, seed: int, trials: int = 1500) -> int:
-    """Fewest walks, found by simulation, after which two windows at `edits` word edits have met with the wanted recall."""
+    """Fewest walks, found by simulation, after which two windows at `edits` word edits have met with the wanted recall.
+
+    A recall that MAX_WALKS do not reach is refused.
+    """
     if edits == 0:
         return 1
     rng = np.random.default_rng(seed)
@@ -75,12 +79,12 @@ def walks_needed(width: int, edits: int, recall: float, seed: int, trials: int =
         b[i] = row
     start = np.arange(trials) * width
     met = np.zeros(trials, bool)
-    for walk in range(24):
+    for walk in range(MAX_WALKS):
         ka, kb = (embed_keys(x.ravel(), walk_bits(x.ravel(), walk, seed), start, width, walk, seed) for x in (a, b))
         met |= np.logical_or.reduce([x == y for x, y in zip(ka, kb)])
         if met.mean() >= recall:
             return walk + 1
-    return 24
+    raise ValueError(f"{MAX_WALKS} walks find {met.mean():.2f} of the windows of {width} words at {edits} edits, not {recall}")
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -227,74 +231,29 @@ def _search(indexes: list[Index], seed: int):
     return run
 
 
-def _emit(widths: list[tuple[int, int, int]], seed: int):
-    """Windows of every text as rows of the shuffled join: one for each table of each width."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, texts in _batches(batches):
-            h, owner, _, _ = word_hashes([folded(t) for t in texts])
-            for width, _, walks in widths:
-                n = len(h) - width + 1
-                if n <= 0:
-                    continue
-                start = np.flatnonzero(owner[width - 1 :] == owner[:n])
-                for c in range(0, len(start), 4096):
-                    part = start[c : c + 4096]
-                    words = list(to_signed(h[part[:, None] + np.arange(width)]))
-                    for w in range(walks):
-                        for k, key in enumerate(embed_keys(h, walk_bits(h, w, seed), part, width, w, seed)):
-                            yield pd.DataFrame({"ident": ids[owner[part]], "width": width, "tab": w * PER_WALK + k, "key": to_signed(key), "place": part - np.searchsorted(owner, owner[part]), "words": words})
-
-    return run
-
-
-def _item_rows(width: int, seed: int, plan: dict[int, tuple[int, int]]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, texts in _batches(batches):
-            for n, (windows, items) in item_windows(texts, ids, width).items():
-                flat, start = windows.ravel(), np.arange(len(windows)) * n
-                for w in range(plan[n][1]):
-                    for k, key in enumerate(embed_keys(flat, walk_bits(flat, w, seed), start, n, w, seed)):
-                        yield pd.DataFrame({"item": items, "width": n, "tab": w * PER_WALK + k, "key": to_signed(key), "theirs": list(to_signed(windows))})
-
-    return run
-
-
-def _verify(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = np.empty(len(a), np.int32)
-    sizes = np.array([len(x) for x in a])
-    for n in np.unique(sizes):
-        at = np.flatnonzero(sizes == n)
-        out[at] = edit_distance(np.stack(list(a.iloc[at])), np.stack(list(b.iloc[at])))
-    return pd.Series(out)
-
-
 def leaked_items(corpus: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "eval_id", text: str = "text", width: int = 12, edits: int = 1, recall: float = 0.95, seed: int = 11, index_chars: int = INDEX_CHARS) -> DataFrame:
     """(doc, item, edits, windows): documents that hold a window of an item within `edits` word edits.
 
     edits is the least found, 0 for wording in common; an item window of fewer than 12 words allows a quarter of them.
-    Windows of 0 edits are found always, others with the given recall. windows counts the matching window pairs.
+    Windows of 0 edits are found always, others with the given recall. windows counts the matching window pairs. The items
+    are the query set: however many there are, every block of them is held against the whole corpus, and the result does
+    not depend on the blocks.
     Null or wordless texts on either side are in no row; texts are used whole; copies of a document each have their row.
     """
     kinds = dict(corpus.dtypes)[doc], dict(items.dtypes)[item]
-    wanted = items.select(F.col(item).alias("ident"), F.col(text).alias("t")).where("ident is not null and t is not null").distinct()
+    wanted = spread(items.select(F.col(item).alias("ident"), F.col(text).alias("t")).where("ident is not null and t is not null")).distinct()
     texts = spread(corpus.select(F.col(doc).alias("ident"), F.col(text).alias("t"))).where("ident is not null and t is not null")
     chars = wanted.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
-    if chars <= index_chars:
-        held = wanted.toPandas()
+    blocks = max(1, -(-chars // max(1, index_chars)))
+    rows = None
+    for block in range(blocks):
+        held = (wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("ident", "t"), F.lit(blocks)) == block)).toPandas()
         grouped = item_windows(list(held["t"]), held["ident"].to_numpy(), width)
         indexes = [_index(n, w, i, edits, recall, seed) for n, (w, i) in sorted(grouped.items())]
-        rows = texts.mapInPandas(_search(indexes, seed), f"ident {kinds[0]}, item {kinds[1]}, edits int, windows bigint")
-    else:
-        plan = {n: (e := min(edits, n // 4), walks_needed(n, e, recall, seed)) for n in range(1, width + 1)}
-        theirs = wanted.mapInPandas(_item_rows(width, seed, plan), f"item {kinds[1]}, width int, tab int, key bigint, theirs array<bigint>")
-        theirs = stage(theirs, "leak-items")
-        present = sorted(r[0] for r in theirs.select("width").distinct().collect())
-        mine = texts.mapInPandas(_emit([(n, *plan[n]) for n in present], seed), f"ident {kinds[0]}, width int, tab int, key bigint, place bigint, words array<bigint>")
-        met = mine.join(theirs, ["width", "tab", "key"]).select("ident", "item", "width", "place", "words", "theirs").distinct()
-        allowed = F.least(F.lit(edits), F.floor(F.col("width") / 4)).cast("int")
-        check = F.pandas_udf(_verify, "int")
-        rows = met.withColumn("edits", check("words", "theirs")).where(F.col("edits") <= allowed).groupBy("ident", "item").agg(F.min("edits").alias("edits"), F.count(F.lit(1)).alias("windows"))
+        found = texts.mapInPandas(_search(indexes, seed), f"ident {kinds[0]}, item {kinds[1]}, edits int, windows bigint")
+        if blocks > 1:  # else the plan would grow with the blocks
+            found = stage(found, "leaks")
+        rows = found if rows is None else rows.unionByName(found)
     out = rows.groupBy("ident", "item").agg(F.min("edits").alias("edits"), F.sum("windows").alias("windows"))
     return out.select(F.col("ident").alias(doc), F.col("item").alias(item), "edits", "windows")
 

@@ -368,14 +368,28 @@ def test_leaks(spark):
                         want.add((i, j))
                     if miss <= min(1, n // 4):
                         near.add((i, j))
-    for kwargs in ({}, {"index_chars": 0}):
-        got = leakage.leaked_items(d, e, **kwargs).collect()
-        assert {(r["doc_id"], r["eval_id"]) for r in got if r["edits"] == 0} == want
-        found = {(r["doc_id"], r["eval_id"]) for r in got}
-        assert found <= near and len(found) >= 0.9 * len(near)
+    got = leakage.leaked_items(d, e).collect()
+    assert {(r["doc_id"], r["eval_id"]) for r in got if r["edits"] == 0} == want
+    found = {(r["doc_id"], r["eval_id"]) for r in got}
+    assert found <= near and len(found) >= 0.9 * len(near)
+    assert Counter(leakage.leaked_items(d, e, index_chars=150).collect()) == Counter(got)
     assert leakage.leaked_items(d.limit(0), e).count() == 0 and leakage.leaked_items(d, e.limit(0)).count() == 0
 
 
+def test_repeated_windows_count_alike_in_any_block(spark):
+    item = "a b c d e f g h i j k l " * 2
+    d = spark.createDataFrame([(1, "x " + item + "y")], "doc_id long, text string")
+    e = spark.createDataFrame([(1, item), (2, "some other words that fill a block of their own here and there")], "eval_id long, text string")
+    got = [leakage.leaked_items(d, e, index_chars=n).collect() for n in (10**6, 40)]
+    assert got[0] == got[1] and got[0][0]["windows"] > 13
+
+
+def test_recall_out_of_reach_is_refused(monkeypatch):
+    monkeypatch.setattr(leakage, "MAX_WALKS", 1)
+    with pytest.raises(ValueError):
+        leakage.walks_needed(12, 4, 0.99, 11)
+
+
 def edit_brute(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -394,14 +408,19 @@ def test_edit_distance_and_sieve(a, b, k):
     assert d > k or leakage.may_be_close(x, y, k)[0]
 
 
+@pytest.mark.parametrize("kind", ["replaced", "lost", "added"])
 @pytest.mark.parametrize("edits", [1, 2])
-def test_leak_recall(edits):
+def test_leak_recall(edits, kind):
     walks = leakage.walks_needed(12, edits, 0.95, 11)
     rng = np.random.default_rng(99)
     a = rng.integers(1, 1 << 62, (600, 12)).astype(np.uint64)
     b = a.copy()
     for i in range(600):
-        b[i, rng.choice(12, edits, replace=False)] = rng.integers(1, 1 << 62, edits).astype(np.uint64)
+        row, fresh = list(a[i]), [np.uint64(x) for x in rng.integers(1, 1 << 62, 12)]
+        for _ in range(edits):
+            p = int(rng.integers(len(row)))
+            row[p : p + (kind != "added")] = [] if kind == "lost" else [fresh.pop()]
+        b[i] = (row + fresh)[:12]
     start, met = np.arange(600) * 12, np.zeros(600, bool)
     for w in range(walks):
         keys = [leakage.embed_keys(v.ravel(), leakage.walk_bits(v.ravel(), w, 11), start, 12, w, 11) for v in (a, b)]
