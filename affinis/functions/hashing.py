@@ -15,8 +15,18 @@ FNV_OFFSET, FNV_PRIME, MODULUS, SEED, EMPTY = 2166136261, 16777619, 4294967311,
 
 
 def fnv1a32(c: Column) -> Column:
-    """FNV-1a of an ASCII text, 32 bits, inside the engine; null for null."""
-    return F.aggregate(F.split(c, ""), F.lit(FNV_OFFSET), lambda h, x: F.when(x == "", h).otherwise((h.bitwiseXOR(F.ascii(x).cast("long")) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(EMPTY))))
+    """FNV-1a of the UTF-8 bytes of a text, 32 bits; null for null. ASCII texts are hashed inside the engine."""
+    plain = F.aggregate(F.split(c, ""), F.lit(FNV_OFFSET), lambda h, x: F.when(x == "", h).otherwise((h.bitwiseXOR(F.ascii(x).cast("long")) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(EMPTY))))
+    wide = c.rlike(r"[^\x00-\x7F]")
+    return F.when(wide, _fnv_texts(F.when(wide, c))).otherwise(plain)
+
+
+@F.pandas_udf(T.LongType())
+def _fnv_texts(texts: pd.Series) -> pd.Series:
+    known = texts.notna().to_numpy()
+    out = pd.Series([None] * len(texts), index=texts.index, dtype="Int64")
+    out[known] = fnv_batch(list(texts[known])).astype(np.int64)
+    return out
 
 
 def _mulberry32(seed: int):
@@ -55,8 +65,9 @@ def fnv_batch(words: list[str]) -> np.ndarray:
     return h
 
 
-def signatures_of(sets: list[list[str] | None], permutations: int) -> np.ndarray:
-    """A row of minima for each set of texts; an empty or null set has EMPTY everywhere."""
+def signatures_of(sets: list[list[str] | None], permutations: int, clamped: bool = True) -> np.ndarray:
+    """A row of minima for each set of texts; an empty or null set has EMPTY everywhere. clamped=False leaves minima above
+    EMPTY as they are."""
     a, b = (np.array(x, np.uint64) for x in coefficients(permutations))
     out = np.full((len(sets), permutations), EMPTY, np.uint64)
     filled = [i for i, s in enumerate(sets) if s is not None and len(s)]
@@ -66,26 +77,29 @@ def signatures_of(sets: list[list[str] | None], permutations: int) -> np.ndarray
     sizes = np.array([len(sets[i]) for i in filled])
     starts = np.cumsum(sizes) - sizes
     for p in range(permutations):
-        out[filled, p] = np.minimum(np.minimum.reduceat((flat * a[p] + b[p]) % np.uint64(MODULUS), starts), np.uint64(EMPTY))
+        least = np.minimum.reduceat((flat * a[p] + b[p]) % np.uint64(MODULUS), starts)
+        out[filled, p] = np.minimum(least, np.uint64(EMPTY)) if clamped else least
     return out
 
 
-def minhash(c: Column, permutations: int = 128) -> Column:
-    """MinHash signature of an array of shingles, ARRAY<BIGINT>."""
+def minhash(c: Column, permutations: int = 128, clamped: bool = True) -> Column:
+    """MinHash signature of an array of shingles, ARRAY<BIGINT>; clamped to 32 bits or not."""
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def sign(sets: pd.Series) -> pd.Series:
         out = []
         for lo in range(0, len(sets), 512):
-            out += list(signatures_of([None if s is None else list(s) for s in sets.iloc[lo : lo + 512]], permutations).astype(np.int64))
+            out += list(signatures_of([None if s is None else list(s) for s in sets.iloc[lo : lo + 512]], permutations, clamped).astype(np.int64))
         return pd.Series(out, index=sets.index)
 
     return sign(c)
 
 
-def estimated_similarity(a: Column, b: Column) -> Column:
-    """Share of equal values over the shorter signature; 0.0 where either is null or empty."""
-    n = F.when(a.isNotNull() & b.isNotNull(), F.least(F.size(a), F.size(b))).otherwise(0)
+def estimated_similarity(a: Column, b: Column, equal_lengths: bool = False) -> Column:
+    """Share of equal values over the shorter signature; 0.0 where either is null or empty, and with equal_lengths where
+    they differ in length."""
+    usable = a.isNotNull() & b.isNotNull() & ((F.size(a) == F.size(b)) if equal_lengths else F.lit(True))
+    n = F.when(usable, F.least(F.size(a), F.size(b))).otherwise(0)
     same = F.size(F.filter(F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: x == y), lambda x: x))
     return F.when(n > 0, same / n).otherwise(F.lit(0.0))
 

@@ -26,9 +26,9 @@ def from_markup(xml: Column) -> Column:
 
 
 def as_text(tables: Column) -> Column:
-    """Tables as lines of text, cells joined by ' | ', after a heading; '' without tables."""
-    lines = F.transform(tables, lambda t: F.array_join(F.transform(t.rows, lambda r: F.array_join(r, " | ")), "\n"))
-    return F.when(F.size(tables) > 0, F.concat(F.lit("\n\n[Table Data]:\n"), F.array_join(lines, "\n"))).otherwise("")
+    """Tables as text after a heading: a line for each row, cells apart by a blank, tables by an empty line; '' without any."""
+    lines = F.transform(tables, lambda t: F.array_join(F.transform(t.rows, lambda r: F.array_join(r, " ")), "\n"))
+    return F.when(F.size(tables) > 0, F.concat(F.lit("\n\n[Table Data]:\n"), F.array_join(lines, "\n\n"))).otherwise("")
 
 
 def comparison(a: Column, b: Column) -> Column:

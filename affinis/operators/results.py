@@ -161,6 +161,12 @@ def document_similarities(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return own.join(docs.select("scan_id", "doc_id"), ["scan_id", "doc_id"], "left_semi").withColumn("percentage", rounded(F.col("score") * 100, 2))
 
 
+def document_view_averages(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """scan_id, doc_id, comparisons and average: of the percentages as shown, so it can differ by .01 from the dashboard's."""
+    shown = document_similarities(docs, pairs).where("percentage is not null").groupBy("scan_id", "doc_id")
+    return shown.agg(F.count(F.lit(1)).alias("comparisons"), rounded(F.sum(F.col("percentage").cast("decimal(18,2)")).cast("double") / F.count(F.lit(1)), 2).alias("average"))
+
+
 def lookup(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Stored pairs for wanted (scan_id, x, y) in either orientation; a pair of equal ids finds nothing."""
     ask = wanted.select("scan_id", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).where("lo <> hi").distinct()

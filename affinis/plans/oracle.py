@@ -36,15 +36,19 @@ sizes as (select doc_id, count(*) as n from vals group by doc_id)"""
 
 _OVERLAP = """
 overlap as (select x.doc_id as a, y.doc_id as b, count(*) as shared from vals x join vals y on x.s = y.s and x.doc_id < y.doc_id group by 1, 2)"""
-_JACCARD = f"""with {_shingled()}, {_OVERLAP},
+def _jaccard(k: int, least: float) -> str:
+    return f"""with {_shingled(k)}, {_OVERLAP},
 pairs as (select a, b, shared, shared::double / (p.n + q.n - shared) as jaccard from overlap join sizes p on p.doc_id = a join sizes q on q.doc_id = b),
-alike as (select * from pairs where jaccard >= 0.5 - 1e-12),
+alike as (select * from pairs where jaccard >= {least} - 1e-12),
 sets as (select doc_id, md5(string_agg(s, chr(31) order by s)) as k from vals group by doc_id),
 equal as (select doc_id, k, min(doc_id) over (partition by k) as r from sets),
 kept as (select s.* from alike s join equal x on x.doc_id = a join equal y on y.doc_id = b where (x.r = a and y.r = b) or (x.r = y.r and a = x.r))
 """
 
 
+_JACCARD = _jaccard(5, 0.5)
+
+
 def _coefficients() -> str:
     a, b = coefficients(128)
     return "coef(i, a, b) as (values " + ", ".join(f"({i}, {x}::ubigint, {y}::ubigint)" for i, (x, y) in enumerate(zip(a, b))) + ")"
@@ -71,9 +75,10 @@ twins as (select doc_id, min(doc_id) over (partition by k) as r from whole),
 lsh as (select distinct x.doc_id as a, y.doc_id as b from bands x join bands y on x.band = y.band and x.k = y.k and x.doc_id < y.doc_id
           where x.doc_id in (select r from twins) and y.doc_id in (select r from twins)
         union select r, doc_id from twins where r <> doc_id)"""
-_EXACT = f"""
+_EXACT_TIES = f"""
 hashes as (select doc_id, sha256(text) as sha, sha256({_NORM}) as norm_hash from documents where {_NORM} <> ''),
-ties as (select distinct r as a, doc_id as b from (select doc_id, min(doc_id) over (partition by sha) as r from hashes union all select doc_id, min(doc_id) over (partition by norm_hash) from hashes) where r <> doc_id),
+ties as (select distinct r as a, doc_id as b from (select doc_id, min(doc_id) over (partition by sha) as r from hashes union all select doc_id, min(doc_id) over (partition by norm_hash) from hashes) where r <> doc_id)"""
+_EXACT = f"""{_EXACT_TIES},
 cand as (select a, b, max(e) = 1 as is_exact from (select a, b, 1 as e from ties union all select a, b, 0 from lsh) group by a, b)"""
 _CAND = f"with {_SIGNED}, {_BANDS}, {_EXACT}"
 
@@ -144,12 +149,15 @@ select d.doc_id, coalesce(s.n, 0)::bigint as k5, coalesce(t.n, 0)::bigint as k3
     sql["html_escaped"] = "select eval_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;') as html from eval_items"
     sql["safe_filenames"] = r"select documentId, regexp_replace(filename, '[^a-zA-Z0-9._-]', '_', 'g') as safe, coalesce(nullif(trim(regexp_replace(filename, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g')), ''), '--') as shown from scan_documents"
     sql["cell_values"] = f"select p_partkey, name, {_cell('v')} as value from (select p_partkey, 'p_name' as name, p_name as v from part union all select p_partkey, 'p_retailprice', p_retailprice::varchar from part union all select p_partkey, 'p_size', p_size::varchar from part)"
-    sql["sentence_overlap"] = f"""with c as (select eval_id, {_content('text')} as x from eval_items), j as (select p.eval_id, p.x, q.x as y from c p join c q on q.eval_id = p.eval_id + 1),
+    lines = r"""raw as (select doc_id, string_split_regex(text, '\r\n|\r|\n') as l from documents),
+lines as (select * from (select doc_id, unnest(range(1, len(l) + 1))::integer as line_no, unnest(l) as line from raw) where regexp_matches(line, '\S'))"""
+    sql["sentence_overlap"] = f"""with {lines}, c as (select doc_id, line_no, {_content('line')} as x from lines),
+j as (select * from (select *, lead(x) over (partition by doc_id order by line_no) as y from c) where y is not null),
 m as (select *, len(list_filter(x, lambda w: list_contains(y, w))) as matched, len(list_intersect(list_distinct(x), list_distinct(y))) as shared from j)
-select eval_id, case when shared > 0 then least(100.0::double, {_half("(0.35::double * shared / len(list_distinct(list_concat(x, y))) + 0.35::double * shared / least(len(x), len(y)) + 0.30::double * 2 * matched / (len(x) + len(y))) * 100", 1)}) else 0.0::double end as score, shared::bigint as shared from m"""
+select doc_id, line_no, case when shared > 0 then least(100.0::double, {_half("(0.35::double * shared / len(list_distinct(list_concat(x, y))) + 0.35::double * shared / least(len(x), len(y)) + 0.30::double * 2 * matched / (len(x) + len(y))) * 100", 1)}) else 0.0::double end as score, shared::bigint as shared from m"""
     known = _list(BOILERPLATE)
-    sql["boilerplate_flags"] = rf"""with l as (select doc_id, trim(regexp_extract(text, '^([^\n]*)', 1)) as line from documents), c as (select *, trim(regexp_replace(lower(line), '[^a-z0-9\s]', '', 'g')) as clean, {_content('line')} as w from l)
-select doc_id, clean in ({known}) or (len(w) <= 2 and array_to_string(w, ' ') in ({known})) or (len(w) <= 3 and len(list_filter(w, lambda x: x not in ({known}))) = 0) as generic from c"""
+    sql["boilerplate_lines"] = rf"""with {lines}, c as (select doc_id, line_no, trim(regexp_replace(lower(trim(line)), '[^a-z0-9\s]', '', 'g')) as clean, {_content('trim(line)')} as w from lines)
+select doc_id, line_no, clean in ({known}) or (len(w) <= 2 and array_to_string(w, ' ') in ({known})) or (len(w) <= 3 and len(list_filter(w, lambda x: x not in ({known}))) = 0) as generic from c"""
     sql["minhash_signatures"] = f"""with {_SIGNED} select doc_id, i::bigint as i, value from sig
 union all select doc_id, i, 4294967295 from documents cross join range(128) r(i) where doc_id not in (select doc_id from sizes)"""
     sql["fingerprints"] = f"""with {_coefficients()},
@@ -160,9 +168,9 @@ runs as (select request_id, unnest(shingles) as s from src where shingles is not
 vals as (select distinct request_id, s from runs where s is not null and s <> ''),
 hashed as (select s, {_fnv_bytes('s')} as x from (select distinct s from vals)),
 n as (select request_id, count(*) as n from vals group by 1),
-sig as (select request_id, i, min(least((a * x + b) % {MODULUS}::ubigint, 4294967295::ubigint))::bigint as v from vals join hashed using (s) cross join coef where i in (0, 127) group by 1, 2)
-select r.request_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(f.v, 4294967295) as sig_first, coalesce(l.v, 4294967295) as sig_last from fingerprint_requests r left join n using (request_id)
-left join sig f on f.request_id = r.request_id and f.i = 0 left join sig l on l.request_id = r.request_id and l.i = 127"""
+sig as (select request_id, i, min(least((a * x + b) % {MODULUS}::ubigint, 4294967295::ubigint))::bigint as v from vals join hashed using (s) cross join coef group by 1, 2)
+select r.request_id, coalesce(n.n, 0)::bigint as n_shingles, p.i::bigint as i, coalesce(f.v, 4294967295) as value from fingerprint_requests r cross join range(128) p(i) left join n using (request_id)
+left join sig f on f.request_id = r.request_id and f.i = p.i"""
     sql["lsh_candidates"] = f"with {_SIGNED}, {_BANDS} select a, b from lsh"
     sql["candidate_pairs"] = f"{_CAND} select a, b, is_exact from cand"
     reduction = _half("(possible - c) / possible::double * 100", 2)
@@ -175,6 +183,8 @@ sc as (select c.a, c.b, is_exact, coalesce(shared, 0) as shared, coalesce(shared
     sql["text_only_scores"] = f"{scored} select a, b, is_exact, case when is_exact then 1.0::double else {_half('coalesce(j, 0)', 4)} end as score, case when is_exact then 100.0::double else {_half(_half('coalesce(j, 0)', 4) + ' * 100', 2)} end as percentage from sc"
     sql["minhash_estimates"] = f"{_CAND} select c.a, c.b, count(*) filter (x.value = y.value) / 128.0::double as estimate from cand c join sig x on x.doc_id = c.a join sig y on y.doc_id = c.b and y.i = x.i group by 1, 2"
     sql["jaccard_pairs"] = f"{_JACCARD} select a, b, shared, jaccard from kept"
+    sql["level1_scores"] = f"""{_jaccard(3, 0.2).rstrip()}, {_EXACT_TIES}, found as (select a, b, max(e) = 1 as is_exact, max(j) as j from (select a, b, 1 as e, 1.0::double as j from ties union all select a, b, 0, jaccard from kept) group by a, b),
+t as (select a, b, is_exact, case when is_exact then 1.0::double else {_half('j', 4)} end as score from found) select *, {_half('score * 100', 2)} as percentage from t"""
     sql["ranked_pairs"] = f"""{_JACCARD}, top as (select a, b, jaccard, {_half("jaccard * 100", 2)} as percentage from kept order by jaccard desc, a, b limit 20)
 select *, case when jaccard between 0.9999 and 1.0001 then 'Exact Duplicate' else {_class("percentage")} end as class from top"""
     sql["lsh_recall"] = _JACCARD.rstrip() + f""", {_coefficients()}, hashed as (select s, {_fnv_list('s')} as x from (select distinct s from vals)),
@@ -191,9 +201,12 @@ v as (select r, k as x from c union select r, l from c), s as (select r, count(*
 o as (select p.r as a, q.r as b, count(*) filter (p.x = q.x) as shared from v p join v q on p.r < q.r group by 1, 2)
 select a, b, {_half("least(1.0, 0.3::double * ((least(x.rows, y.rows)::double / greatest(x.rows, y.rows) + 1) / 2) + 0.7::double * shared / (p.n + q.n - shared))", 4)} as similarity, shared as matching_cells, 0::bigint as matching_rows
 from o join s p on p.r = a join s q on q.r = b join n x on x.r = a join n y on y.r = b"""
-    sql["image_candidates"] = """with c as (select lower(dhash) as h, ('0x' || dhash)::ubigint as v, min(documentId) as doc, count(distinct documentId) as docs from images where regexp_matches(dhash, '^[0-9a-fA-F]{16}$') group by 1, 2),
+    close = """c as (select lower(dhash) as h, ('0x' || dhash)::ubigint as v, min(documentId) as doc, count(distinct documentId) as docs from i where regexp_matches(dhash, '^[0-9a-fA-F]{16}$') group by 1, 2),
 p as (select x.h as dhash_a, y.h as dhash_b, bit_count(xor(x.v, y.v))::integer as distance from c x join c y on x.h < y.h where x.doc <> y.doc or x.docs > 1 or y.docs > 1)
 select *, case when distance <= 0 then 1.0::double when distance >= 32 then 0.0::double else floor((1 - distance / 32.0::double) * 10000 + 0.5) / 10000.0::double end as similarity from p where distance <= 12"""
+    sql["image_candidates"] = f"with i as (select dhash, documentId from images), {close}"
+    sql["planted_image_candidates"] = f"""with o as (select dhash, documentId, ('0x' || dhash[13:16])::integer as v, [1057, 3891, 4095, 8191][('0x' || dhash[1:1])::integer % 4 + 1] as m from images where regexp_matches(dhash, '^[0-9a-fA-F]{{16}}$')),
+i as (select dhash, documentId from o union all select dhash[1:12] || printf('%04x', xor(v, m)), documentId || '-planted' from o), {close}"""
     sql["image_copies"] = """with g as (select lower(sha256) as h, min(imageId) as first_image_id, count(distinct documentId) as documents from images where sha256 is not null and imageId is not null group by 1 having count(distinct documentId) > 1)
 select imageId as image_id, first_image_id, documents from images join g on g.h = lower(sha256) where imageId is not null"""
     clean = r"regexp_replace(regexp_replace(regexp_replace(replace(coalesce(ocrText, ''), chr(13) || chr(10), chr(10)), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
@@ -213,6 +226,8 @@ select scan_id, rank::integer as rank, doc_id, filename, average, comparisons, c
     sql["score_categories"] = f"{_STORED} select scan_id, count(*) as pairs, count(*) filter (score >= 0.9999) as exact, count(*) filter (score >= 0.7 and score < 0.9999) as high, count(*) filter (score >= 0.4 and score < 0.7) as moderate, count(*) filter (score < 0.4) as low from pairs group by 1"
     sql["report_summary"] = f"{_AVERAGES} select scan_id, count(*) as documents, count(*) filter (is_duplicate) as duplicate_files, count(average) as files_with_similarity, {_half('sum(average::decimal(18, 2))::double / count(average)', 2)} as overall_average, max(average) as highest_average, min(average) as lowest_average from averages group by 1"
     sql["document_similarities"] = f"{_STORED} select s.scan_id, s.doc_id, other_id, other_name, {_PCT} as percentage from sides s join docs d on d.scan_id = s.scan_id and d.doc_id = s.doc_id where score < 0.9999"
+    sql["document_view_averages"] = f"""{_STORED}, shown as (select s.scan_id, s.doc_id, {_PCT} as percentage from sides s join docs d on d.scan_id = s.scan_id and d.doc_id = s.doc_id where score < 0.9999)
+select scan_id, doc_id, count(*) as comparisons, {_half('sum(percentage::decimal(18, 2))::double / count(*)', 2)} as average from shown where percentage is not null group by 1, 2"""
     sql["pair_lookup"] = f"{_STORED} select scan_id, a, b, score from pairs where a <> b"
     sql["history"] = rf"""{_STORED}, done as (select nullif(lower(regexp_replace(scanId, '^\s+|\s+$', '', 'g')), '') as scan_id, coalesce(completedAt, createdAt) as finished_at from scans where status = 'completed' order by createdAt desc nulls last, scan_id limit 100),
 names as (select scan_id, count(*) as n, arg_min(filename, doc_id) as f, arg_max(filename, doc_id) as l from docs group by 1),

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from affinis.config import DEFAULT
+from affinis.config import DEFAULT, SimilarityConfig
 from affinis.functions import code, hashing, images, passages, scoring, tables, text
 from affinis.operators import candidates as C
 from affinis.operators import image_pairs, multimodal, results
 from affinis.plans import pipeline
-from affinis.runtime import spread, stage, table
+from affinis.runtime import broadcast_if, spread, stage, table
 from affinis.sources import readers, sinks
 
 THRESHOLD = 0.5
@@ -86,24 +87,23 @@ def sentence_segments(s: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", F.col("i").alias("sentence_no"), "s.offset", "s.page", F.col("s.text").alias("sentence"))
 
 
-def sentence_overlap(s: SparkSession, d: str) -> DataFrame:
-    """Overlap of each evaluation item with the next one."""
-    e = table(s, d, "eval_items").select("eval_id", text.sentence_tokens(F.col("text")).alias("x"))
-    nxt = e.select((F.col("eval_id") - 1).alias("eval_id"), F.col("x").alias("y"))
-    o = e.join(nxt, "eval_id").select("eval_id", passages.overlap_scores(F.col("x"), F.col("y")).alias("o"))
-    return o.select("eval_id", F.col("o.score").alias("score"), F.col("o.shared").alias("shared"))
+def _lines(s: SparkSession, d: str) -> DataFrame:
+    """doc_id, line_no and line of every line of the documents that is not blank."""
+    lines = spread(_docs(s, d).select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("i", "line"))
+    return lines.where(F.col("line").rlike(r"\S")).select("doc_id", (F.col("i") + 1).alias("line_no"), "line")
 
 
-def boilerplate_flags(s: SparkSession, d: str) -> DataFrame:
-    """First lines of documents that are generic headings or have no content word."""
-    line = F.trim(F.regexp_extract("text", r"^([^\n]*)", 1))
-    return _docs(s, d).select("doc_id", text.is_boilerplate(line).alias("generic"))
+def sentence_overlap(s: SparkSession, d: str) -> DataFrame:
+    """Overlap of each line of a document with the next one that is not blank."""
+    t = _lines(s, d).select("doc_id", "line_no", text.sentence_tokens(F.col("line")).alias("x"))
+    both = t.withColumn("y", F.lead("x").over(Window.partitionBy("doc_id").orderBy("line_no"))).where("y is not null")
+    o = both.select("doc_id", "line_no", passages.overlap_scores(F.col("x"), F.col("y")).alias("o"))
+    return o.select("doc_id", "line_no", F.col("o.score").alias("score"), F.col("o.shared").alias("shared"))
 
 
 def boilerplate_lines(s: SparkSession, d: str) -> DataFrame:
     """Every line of the documents that is not blank, by its number: a generic heading, without a content word, or neither."""
-    lines = spread(_docs(s, d).select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("i", "line"))
-    return lines.where(F.col("line").rlike(r"\S")).select("doc_id", (F.col("i") + 1).alias("line_no"), text.is_boilerplate(F.trim("line")).alias("generic"))
+    return _lines(s, d).select("doc_id", "line_no", text.is_boilerplate(F.trim("line")).alias("generic"))
 
 
 # ---- fingerprints, candidates, set similarity
@@ -116,7 +116,7 @@ def minhash_signatures(s: SparkSession, d: str) -> DataFrame:
 
 def fingerprints(s: SparkSession, d: str) -> DataFrame:
     f = stage(C.fingerprint_source(table(s, d, "fingerprint_requests")), "requests").withColumn("sig", hashing.minhash(F.col("shingles")))
-    return f.select("request_id", F.size("shingles").cast("long").alias("n_shingles"), F.col("sig")[0].alias("sig_first"), F.col("sig")[127].alias("sig_last"))
+    return f.select("request_id", F.size("shingles").cast("long").alias("n_shingles"), F.posexplode("sig").alias("i", "value")).withColumn("i", F.col("i").cast("long"))
 
 
 def lsh_candidates(s: SparkSession, d: str) -> DataFrame:
@@ -184,6 +184,12 @@ def text_only_scores(s: SparkSession, d: str) -> DataFrame:
     return pipeline.scan(_docs(s, d), text_only=True).select("a", "b", "is_exact", "score", "percentage")
 
 
+def level1_scores(s: SparkSession, d: str) -> DataFrame:
+    """The plain scan: every two documents whose sets of three-word shingles are alike by 0.2 or more, by exact comparison."""
+    got = pipeline.scan(_docs(s, d), config=SimilarityConfig(shingle_size=3), method="exact", text_only=True, least=0.2)
+    return got.select("a", "b", "is_exact", "score", "percentage")
+
+
 def multimodal_scores(s: SparkSession, d: str) -> DataFrame:
     """Pairs of documents alike in text or images: the latest delivered item of each, its images and code."""
     seen = table(s, d, "images")
@@ -213,11 +219,12 @@ def code_detection(s: SparkSession, d: str) -> DataFrame:
 
 
 def code_similarity(s: SparkSession, d: str) -> DataFrame:
-    """Neighbouring items of the evaluation set compared as code."""
-    e = table(s, d, "eval_items").select("eval_id", "text")
-    nxt = e.select((F.col("eval_id") - 1).alias("eval_id"), F.col("text").alias("t2"))
-    c = spread(e.join(nxt, "eval_id")).select("eval_id", code.comparison(F.col("text"), F.col("t2")).alias("c"))
-    return c.select("eval_id", F.col("c.similarity").alias("similarity"), F.col("c.tokens_a").alias("tokens_a"), F.col("c.tokens_b").alias("tokens_b"))
+    """Candidate pairs of documents compared as code, whole texts."""
+    pairs = stage(C.candidates(_features(s, d), "doc_id").select("a", "b"), "code-pairs")
+    t = _docs(s, d)
+    both = pairs.join(t.select(F.col("doc_id").alias("a"), F.col("text").alias("t1")), "a").join(t.select(F.col("doc_id").alias("b"), F.col("text").alias("t2")), "b")
+    c = both.select("a", "b", code.comparison(F.col("t1"), F.col("t2")).alias("c"))
+    return c.select("a", "b", F.col("c.similarity").alias("similarity"), F.col("c.tokens_a").alias("tokens_a"), F.col("c.tokens_b").alias("tokens_b"))
 
 
 def table_similarity(s: SparkSession, d: str) -> DataFrame:
@@ -225,7 +232,7 @@ def table_similarity(s: SparkSession, d: str) -> DataFrame:
     n = table(s, d, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.array(F.col("n_nationkey").cast("string"), F.substring("n_name", 1, 1)))).alias("rows"))
     t = n.select("n_regionkey", F.struct(F.lit(1).alias("tableIndex"), F.size("rows").alias("rowCount"), F.lit(2).alias("colCount"), "rows").alias("t"))
     a, b = t.select(F.col("n_regionkey").alias("a"), F.col("t").alias("ta")), t.select(F.col("n_regionkey").alias("b"), F.col("t").alias("tb"))
-    c = a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", tables.comparison(F.col("ta"), F.col("tb")).alias("c"))
+    c = a.join(broadcast_if(b, 1000), F.col("a") < F.col("b")).select("a", "b", tables.comparison(F.col("ta"), F.col("tb")).alias("c"))
     return c.select("a", "b", F.col("c.similarity").alias("similarity"), F.col("c.matching_cells").cast("long").alias("matching_cells"), F.size("c.matching_rows").cast("long").alias("matching_rows"))
 
 
@@ -236,6 +243,15 @@ def image_candidates(s: SparkSession, d: str) -> DataFrame:
     return image_pairs.close_hashes(table(s, d, "images"))
 
 
+def planted_image_candidates(s: SparkSession, d: str) -> DataFrame:
+    """Close hashes among the images and altered copies of them in other documents: 3, 8, 12 and 13 bits flipped, by turns."""
+    i = table(s, d, "images").where(F.col("dhash").rlike("^[0-9a-fA-F]{16}$")).select("dhash", "documentId")
+    turn = F.conv(F.substring("dhash", 1, 1), 16, 10).cast("int") % 4
+    flips = F.array(*[F.lit(int(m, 16)) for m in ("0421", "0F33", "0FFF", "1FFF")])
+    tail = F.lower(F.lpad(F.hex(F.conv(F.substring("dhash", 13, 4), 16, 10).cast("long").bitwiseXOR(F.element_at(flips, turn + 1).cast("long"))), 4, "0"))
+    return image_pairs.close_hashes(i.unionByName(i.select(F.concat(F.substring("dhash", 1, 12), tail).alias("dhash"), F.concat("documentId", F.lit("-planted")).alias("documentId"))))
+
+
 def image_copies(s: SparkSession, d: str) -> DataFrame:
     return image_pairs.same_content(table(s, d, "images"))
 
@@ -307,6 +323,11 @@ def document_similarities(s: SparkSession, d: str) -> DataFrame:
     return results.document_similarities(*_stored(s, d)).select("scan_id", "doc_id", "other_id", "other_name", "percentage")
 
 
+def document_view_averages(s: SparkSession, d: str) -> DataFrame:
+    """Comparisons of each stored document and the average of their rounded percentages, as its own page shows them."""
+    return results.document_view_averages(*_stored(s, d))
+
+
 def pair_lookup(s: SparkSession, d: str) -> DataFrame:
     """Pairs found by asking for each stored pair the other way round."""
     pairs = _stored(s, d)[1]
@@ -351,11 +372,11 @@ def upload_selection(s: SparkSession, d: str) -> DataFrame:
 
 
 _NAMES = (
-    "tokenize_stats text_statistics normalized_hashes shingle_counts fnv_hashes html_escaped safe_filenames cell_values sentence_segments sentence_overlap boilerplate_flags boilerplate_lines "
+    "tokenize_stats text_statistics normalized_hashes shingle_counts fnv_hashes html_escaped safe_filenames cell_values sentence_segments sentence_overlap boilerplate_lines "
     "minhash_signatures fingerprints lsh_candidates candidate_pairs candidate_stats jaccard_pairs containment_pairs minhash_estimates lsh_recall candidate_probability_curve ranked_pairs "
-    "matching_passages passage_coverage scan_scores text_only_scores multimodal_scores fused_scores code_detection code_similarity table_similarity image_candidates image_copies ocr_gating scanned_files "
+    "matching_passages passage_coverage scan_scores text_only_scores level1_scores multimodal_scores fused_scores code_detection code_similarity table_similarity image_candidates planted_image_candidates image_copies ocr_gating scanned_files "
     "latest_documents stored_results document_averages duplicate_files dashboard_page ranked_results filtered_pairs score_categories evidence_summary report_summary report_top_pairs "
-    "document_similarities pair_lookup highlighted_passages history scan_progress scan_summary recent_scans stored_counts insert_if_absent upload_selection"
+    "document_similarities document_view_averages pair_lookup highlighted_passages history scan_progress scan_summary recent_scans stored_counts insert_if_absent upload_selection"
 )
 
 
