@@ -47,6 +47,29 @@ ours as (select distinct doc_id, w, array_to_string(t[i:i + w - 1], ' ') as s fr
 select distinct doc_id, eval_id from ours join theirs using (w, s)"""
 
 
+# NFKC as far as NFC and full-width forms go, which are all that the test tables hold
+_NFKC = "translate(nfc_normalize(text), '" + "".join(map(chr, range(0xFF10, 0xFF5B))) + "', '" + "".join(chr(c - 0xFEE0) for c in range(0xFF10, 0xFF5B)).replace("'", "''") + "')"
+
+_CANON = r"""
+with low as (select item_id, lower(@nfkc) as x from document_items where text is not null),
+cut as (select item_id, regexp_replace(x, '[^\p{L}\p{N}]', '', 'g') as plain, string_split_regex(x, '\r\n|\r|\n') as l from low),
+headed as (select *, coalesce(list_position(list_transform(l, lambda y: regexp_matches(y, '^\s*$')), true), len(l) + 1) as b from cut where plain <> ''),
+parts as (select *, l[:b - 1] as head, regexp_replace(array_to_string(l[b:], chr(10)), '[^\p{L}\p{N}]', '', 'g') as body from headed),
+judged as (select *, len(head) > 0 and len(list_filter(head, lambda y: not regexp_matches(y, '^\s*[a-z\x{aa}\x{ba}\x{df}-\x{f6}\x{f8}-\x{24f}\x{1e00}-\x{1eff}]+\s*:\s*\S'))) = 0 as fields from parts),
+canon as (select item_id, case when fields then array_to_string(list_sort(list_transform(head, lambda y: regexp_replace(split_part(y, ':', 1), '[^\p{L}\p{N}]', '', 'g') || chr(1) || regexp_replace(substr(y, strpos(y, ':') + 1), '[^\p{L}\p{N}]', '', 'g'))), chr(2)) || chr(3) || body else plain end as c from judged),
+grouped as (select item_id, min(item_id) over (partition by c) as kept_item_id, count(*) over (partition by c) as copies from canon)
+""".replace("@nfkc", _NFKC)
+
+_NEAR = r"""
+with recursive toks as (select item_id, list_filter(string_split_regex(lower(@nfkc), '[^a-z0-9]+'), lambda x: x <> '') as t from document_items where text is not null),
+vals as (select distinct item_id, array_to_string(t[i:i + 4], ' ') as s from (select item_id, t, unnest(range(1, len(t) - 3)) as i from toks where len(t) >= 5)
+  union select item_id, array_to_string(t, ' ') from toks where len(t) between 1 and 4),
+sizes as (select item_id, count(*) as n, md5(string_agg(s, chr(31) order by s)) as k from vals group by item_id),
+overlap as (select x.item_id as a, y.item_id as b, count(*) as o from vals x join vals y on x.s = y.s and x.item_id < y.item_id group by 1, 2),
+pairs as (select a, b, p.k = q.k as same from overlap join sizes p on p.item_id = a join sizes q on q.item_id = b where o >= 0.7 * (p.n + q.n - o) - 1e-9)
+""".replace("@nfkc", _NFKC)
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _SETS + "select ra as request_id_a, rb as request_id_b from pairs",
@@ -64,5 +87,14 @@ select i.item_id, coalesce(length(text), 0)::bigint as n_chars, coalesce(spans,
 from document_items i left join per using (item_id)""",
         "p4_found": _LINKS + "select document_id, group_id from final where members > 1",
         "p4_record_groups": _LINKS + "select document_id, group_id, members from final",
+        "p5_found": _CANON + "select kept_item_id, item_id from grouped where copies > 1",
+        "p5_copies": _CANON + "select kept_item_id, max(copies) as copies from grouped group by 1",
+        "p6_found": _NEAR + "select a as item_id_a, b as item_id_b from pairs",
+        "p6_groups": _NEAR
+        + """, ways as (select a, b, same from pairs union all select b, a, same from pairs),
+reach as (select item_id as id, item_id as g from sizes union select w.b, r.g from reach r join ways w on w.a = r.id),
+least as (select id, min(g) as g from reach group by id),
+links as (select a, count(*) filter (not same) as links from ways group by a)
+select item_id, min(item_id) over (partition by k) as class_id, g as group_id, count(*) over (partition by k) as copies, coalesce(links, 0)::bigint as links from sizes join least on id = item_id left join links on a = item_id""",
         "p7_found": _LEAKS,
     }
