@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
-from hashlib import blake2b
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from affinis.llm.common import folded
 from affinis.llm.components import connected_components
@@ -40,29 +40,28 @@ def canonical_forms(text: str | None) -> tuple[str, str] | None:
     return plain, "\x02".join(fields) + "\x03" + body
 
 
-def _digests(texts: pd.Series) -> pd.DataFrame:
-    rows = []
-    for t in texts:
-        forms = canonical_forms(t)
-        if forms is None:
-            rows.append((None, None, None, None))
-            continue
-        plain, canon = (f.encode("utf-8", "surrogatepass") for f in forms)
-        d = blake2b(canon, digest_size=24).digest()
-        k2 = d[:16].hex()
-        k1 = k2 if plain == canon else blake2b(plain, digest_size=24).digest()[:16].hex()
-        rows.append((k1, k2, int.from_bytes(d[16:], "little", signed=True), len(canon)))
-    return pd.DataFrame(rows, columns=["k1", "k2", "chk", "len"]).astype({"chk": "Int64", "len": "Int64"})
+@F.pandas_udf(T.StructType([T.StructField("plain", T.StringType()), T.StructField("canon", T.StringType())]))
+def _forms(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([canonical_forms(t) or (None, None) for t in texts], columns=["plain", "canon"])
+
+
+def _key(form: Column) -> Column:
+    """128-bit key, 64 further bits and the length of a form in one text: forms are equal only where all three are."""
+    digest = F.sha2(form, 256)
+    return F.concat_ws(":", F.substring(digest, 1, 32), F.substring(digest, 33, 16), F.octet_length(form).cast("string"))
 
 
 def canonical_keys(items: DataFrame, ident: str = "item_id", text: str = "text") -> DataFrame:
-    """One row for each record that has letters or digits: ident, k1, k2 (128-bit keys of the two forms), chk, len.
+    """One row for each record that has letters or digits: ident, plain and key, the keys of its two forms.
 
-    chk (64 further digest bits) and len are the collision check: records group only where all three agree.
+    ASCII texts whose first line has no colon, so no fields, are made canonical inside the engine.
     """
-    digest = F.pandas_udf(_digests, "k1 string, k2 string, chk long, len long")
-    keyed = spread(items.select(F.col(ident), F.col(text).alias("_t"))).where(F.col("_t").isNotNull())
-    return keyed.select(ident, digest("_t").alias("d")).where("d.k1 is not null").select(ident, "d.*")
+    t = F.col("_t")
+    simple = ~t.rlike(r"[^\x00-\x7F]") & ~t.rlike(r"^[^\r\n]*:")
+    told = spread(items.select(F.col(ident), F.col(text).alias("_t"))).where(t.isNotNull())
+    told = told.select(ident, F.when(simple, F.regexp_replace(F.lower(t), "[^a-z0-9]+", "")).alias("_p"), _forms(F.when(~simple, t)).alias("_f"))
+    formed = told.select(ident, F.coalesce("_p", "_f.plain").alias("_p"), F.coalesce("_p", "_f.canon").alias("_c")).where("_p <> ''")
+    return formed.select(ident, _key(F.col("_p")).alias("plain"), _key(F.col("_c")).alias("key"))
 
 
 def copy_groups(items: DataFrame, ident: str = "item_id", text: str = "text") -> DataFrame:
@@ -73,11 +72,9 @@ def copy_groups(items: DataFrame, ident: str = "item_id", text: str = "text") ->
     are left out; repeated rows with their own ident are copies; a repeated ident counts once per row.
     """
     keyed = stage(canonical_keys(items, ident, text), "canon")
-    key = F.concat_ws(":", "k2", F.col("chk").cast("string"), F.col("len").cast("string"))
-    keyed = keyed.withColumn("key", key)
-    spelled = keyed.groupBy("k1").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
+    spelled = keyed.groupBy("plain").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
     if not spelled.isEmpty():
-        bridges = keyed.join(spelled, "k1").select(F.col("key").alias("src"), F.col("lo").alias("dst")).distinct()
+        bridges = keyed.join(spelled, "plain").select(F.col("key").alias("src"), F.col("lo").alias("dst")).distinct()
         united = connected_components(bridges.where("src <> dst"), "src", "dst")
         keyed = keyed.join(united.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("key", F.coalesce("component", "key"))
     groups = keyed.groupBy("key").agg(F.min(ident).alias(f"kept_{ident}"), F.count(F.lit(1)).alias("copies"))
