@@ -218,12 +218,11 @@ def page_numbers(edges: DataFrame) -> DataFrame:
     numbers of several such series the one of most pages is. Without any agreement in the file, a number that is marked as
     one (p. 7, [7], - 7 -, 7 / 9, Page 7) counts, and so does a bare one that equals the page's place at its very edge.
     """
-    style, number = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for name, pattern in _STYLES.items():
-        style = F.coalesce(style, F.when(F.col("line").rlike(pattern), F.lit(name)))
-        number = F.coalesce(number, F.when(F.col("line").rlike(pattern), F.regexp_extract("line", pattern, 1)))
-    short = edges.where((F.length("line") <= NUMBER_CHARS) & F.col("line").rlike("[0-9]|^[^A-Za-z]*[ivxlcdmoIVXLCDMO|]+[^A-Za-z]*$|^[pPsS]"))
-    found = short.select("record_id", "file", "page", "line_no", "rank", style.alias("style"), number.alias("s")).where("style is not null")
+    short = edges.where((F.length("line") <= NUMBER_CHARS) & F.col("line").rlike("^(?:[^A-Za-z]|[ivxlcdmoIVXLCDMO])*$|^(?i:page|seite|página|pagina|p|s)[^A-Za-z]"))
+    read = short.select("*", *[F.regexp_extract("line", pattern, 1).alias(f"_{name}") for name, pattern in _STYLES.items()])
+    style = F.coalesce(*[F.when(F.col(f"_{name}") != "", F.lit(name)) for name in _STYLES])
+    number = F.coalesce(*[F.when(F.col(f"_{name}") != "", F.col(f"_{name}")) for name in _STYLES])
+    found = read.select("record_id", "file", "page", "line_no", "rank", style.alias("style"), number.alias("s")).where("style is not null")
     found = found.withColumn("n", F.explode(_readings(F.col("style"), F.col("s")))).where("n is not null")
     found = found.groupBy("record_id", "file", "page", "line_no", "style", "s", "n").agg(F.min("rank").alias("rank")).withColumn("shift", F.col("n") - F.col("page"))
     found = stage(found, "ocr-numbered")
@@ -239,12 +238,14 @@ def page_numbers(edges: DataFrame) -> DataFrame:
     return taken.select("record_id", "line_no").unionByName(lone.select("record_id", "line_no")).distinct()
 
 
-def running_lines(edges: DataFrame, numbers: DataFrame) -> DataFrame:
+def running_lines(outlined: DataFrame, numbers: DataFrame) -> DataFrame:
     """record_id, line_no of first and last lines, page numbers aside, that stand on two pages of their file or more,
     apart from shapes and numbers."""
-    rest = edges.join(numbers, ["record_id", "line_no"], "left_anti")
-    outer = rest.groupBy("record_id", "file", "page", "last").agg(F.min(F.struct("rank", "line_no", "line")).alias("l"))
-    own = outer.select("record_id", "file", "page", "l.line_no", "l.line")
+    taken = numbers.groupBy("record_id").agg(F.collect_set("line_no").alias("nos"))
+    first = lambda c: F.try_element_at(F.filter(F.slice(c, 1, EDGE_LINES), lambda x: ~F.array_contains(F.col("nos"), x.n)), F.lit(1))
+    rest = outlined.join(taken, "record_id", "left").withColumn("nos", F.coalesce("nos", F.array().cast("array<int>")))
+    ends = F.filter(F.array(first("top"), first("end")), lambda x: x.isNotNull())
+    own = rest.select("record_id", "file", "page", F.explode(F.array_distinct(ends)).alias("l")).select("record_id", "file", "page", F.col("l.n").alias("line_no"), F.col("l.s").alias("line"))
     digits = r"(^|\s)[0-9lIO|o]*[0-9][0-9lIO|o]*(?=\s|$)|^[lIO|]{1,3}\s|\s[lIO|]{1,3}$"
     roman = r"(?i)^[ivxlcdm1|]{1,14}\s\s+|\s\s+[ivxlcdm1|]{1,14}$"
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("line", digits, " "), roman, " "), r"[\s\p{Punct}&&[^|]]+", "")
@@ -346,22 +347,21 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return pd.DataFrame([(w, *r) for w, r in rows.items()], columns=["word", "n", "upper", "lower"])
 
     for pdf in batches:
+        toks: list[str] = []
+        known: dict[int, bool] = {}
         for text, drop, after, joined in zip(*(pdf[c] for c in _FLOW[1:])):
-            start = False
+            known[len(toks)] = False
             for _, parts, second, begins in _walk(text, drop, after, joined):
-                start = start if begins is None else begins
+                if begins is not None:
+                    known[len(toks)] = begins
                 if second is not None:
                     one, rest = core(parts[-1][:-1]), core(second)
                     broken.update(((one + rest).lower(), (one + "-" + rest).lower()))
                     parts = parts[:-1]
-                if parts:
-                    if start:
-                        begin[parts[0]] += 1
-                    total.update(parts)
-                    stops = [ends[t] for t in parts]
-                    start = stops[-1]
-                    if any(stops):
-                        begin.update(parts[i + 1] for i, e in enumerate(stops[:-1]) if e)
+                toks += parts
+        total.update(toks)
+        begin.update([toks[i] for i in (i for i, t in enumerate(toks[:-1], 1) if ends[t]) if i not in known])
+        begin.update([toks[i] for i, b in known.items() if b and i < len(toks)])
         if len(total) + len(broken) > HELD_TOKENS:
             yield out()
     yield out()
@@ -538,13 +538,13 @@ def repairs(pages: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame,
     outlined = stage(outlines(recs, pages), "ocr-pages")
     edges = edge_lines(outlined)
     numbers = stage(page_numbers(edges), "ocr-numbers")
-    running = stage(running_lines(edges, numbers), "ocr-running")
+    running = stage(running_lines(outlined, numbers), "ocr-running")
     furniture = numbers.withColumn("kind", F.lit("page_number")).unionByName(running.withColumn("kind", F.lit("running")))
     drop = furniture.groupBy("record_id").agg(F.collect_set("line_no").alias("drop"))
     own = outlined.join(drop, "record_id", "left").withColumn("_d", F.coalesce("drop", F.array().cast("array<int>")))
-    inner = F.array_distinct(F.filter(F.concat("top", "end"), lambda x: ~F.array_contains(F.col("_d"), x.n)))
-    own = own.withColumn("_in", F.array_sort(inner)).where(F.size("_in") > 0)
-    head, last = F.regexp_extract(F.col("_in")[0].s, r"(\S+)", 1), F.element_at("_in", -1).s
+    inner = F.filter(F.concat("top", "end"), lambda x: ~F.array_contains(F.col("_d"), x.n))
+    own = own.withColumn("_in", inner).where(F.size("_in") > 0)
+    head, last = F.regexp_extract(F.array_min("_in").s, r"(\S+)", 1), F.array_max("_in").s
     own = stage(own.select("record_id", "rh", "file", "page", "drop", head.alias("head"), last.rlike(_BREAK).alias("open")), "ocr-own")
     turns = _neighbours(own)
     lower = F.regexp_replace("head", r"^[^\p{L}\p{N}|]+", "")
