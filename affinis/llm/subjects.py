@@ -140,7 +140,7 @@ def _update(h: np.ndarray):
     return run
 
 
-def _judge(h: np.ndarray, names: list[str]):
+def _judge(h: np.ndarray, names: list[str], least_weight: float):
     k = len(names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,7 +159,7 @@ def _judge(h: np.ndarray, names: list[str]):
                 about = strength[np.arange(len(best)), best] >= MIN_STRENGTH
                 hits = np.zeros((len(n), k), np.int32)
                 np.add.at(hits, (owner[cut][about], best[about]), 1)
-                d, c = np.nonzero((hits > 0) | (w[:, :k] > 0.01))
+                d, c = np.nonzero((hits > 0) | (w[:, :k] > least_weight))
                 yield pd.DataFrame({"ident": part["ident"].to_numpy()[d], "subject": [names[i] for i in c], "about": hits[d, c], "sentences": part["sentences"].to_numpy()[d], "weight": w[d, c].astype(float)})
 
     return run
@@ -176,9 +176,9 @@ def _anchors(samples: pd.DataFrame, vocabulary: np.ndarray, names: list[str]) ->
     return out
 
 
-def subject_counts(docs: DataFrame, samples: DataFrame, ident: str = "doc_id", text: str = "text", subject: str = "subject") -> DataFrame:
+def subject_counts(docs: DataFrame, samples: DataFrame, ident: str = "doc_id", text: str = "text", subject: str = "subject", least_weight: float = 0.01) -> DataFrame:
     """(ident, subject, about, sentences, weight): sentences of a document about a subject, all its sentences, and the
-    subject's weight in its mixture; pairs with neither are left out.
+    subject's weight in its mixture; pairs without such a sentence and of no more than least_weight are left out.
 
     Samples with a null subject or text are skipped. Documents that are null, empty or without a known term are in no
     row. At most MAX_SAMPLES labelled rows are read; the matrix covers all documents and whole texts.
@@ -213,7 +213,7 @@ def subject_counts(docs: DataFrame, samples: DataFrame, ident: str = "doc_id", t
         fresh /= fresh.sum(0)
         fresh[:, : len(names)] = (1 - ANCHOR) * fresh[:, : len(names)] + ANCHOR * anchors
         h = fresh
-    return encoded.mapInPandas(_judge(h.astype(np.float32), names), spec).withColumnRenamed("ident", ident)
+    return encoded.mapInPandas(_judge(h.astype(np.float32), names, least_weight), spec).withColumnRenamed("ident", ident)
 
 
 def subjects_of(docs: DataFrame, samples: DataFrame, ident: str = "doc_id", text: str = "text", least: float = 0.25) -> DataFrame:
@@ -222,7 +222,8 @@ def subjects_of(docs: DataFrame, samples: DataFrame, ident: str = "doc_id", text
 
 
 def composition(docs: DataFrame, samples: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each subject: documents it is a quarter of, sentences about it, and its summed weight in the mixtures."""
-    c = subject_counts(docs, samples, ident, text)
+    """For each subject: documents it is a quarter of, sentences about it, and its summed weight in all mixtures. What the
+    weights lack of the number of documents with a known term is the weight of wording common to all subjects."""
+    c = subject_counts(docs, samples, ident, text, least_weight=0.0)
     quarter = (F.col("about") >= F.col("sentences") * 0.25 - 1e-9) & (F.col("about") > 0)
     return c.groupBy("subject").agg(F.count_if(quarter).alias("documents"), F.sum("about").alias("sentences"), F.sum("weight").alias("weight"))
