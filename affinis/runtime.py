@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
 import shutil
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 _OWN_DIR = "affinis.staging.dir"
 _STAGED: list[str] = []
+_AT_EXIT: list = []
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -40,11 +42,23 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{staging_root(spark)}/affinis/{label}-{uuid.uuid4().hex}"
+    if not _AT_EXIT:
+        _AT_EXIT.append(atexit.register(_clear_at_exit))
     _STAGED.append(path)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _clear_at_exit() -> None:
+    """Whatever is still staged goes with the process, as far as its session still answers."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        try:
+            clear_staged(spark)
+        except Exception:  # noqa: BLE001 - the session has ended first
+            pass
+
+
 def clear_staged(spark: SparkSession) -> int:
     """Delete every table staged by this process; call it when all results that depend on them are written."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

@@ -140,7 +140,7 @@ def test_align_equals_brute_force(a, b):
 
 def test_offsets_and_pages():
     got = passages.split_sentences("One two three.\r\nFour five six seven. Eight nine ten.", [15, 40])
-    assert [(s, o, p) for s, o, p in got] == [("One two three.", 0, 1), ("Four five six seven.", 15, 2), ("Eight nine ten.", 35, 2)]
+    assert [(s, o, p) for s, o, p in got] == [("One two three.", 0, 1), ("Four five six seven.", 15, 1), ("Eight nine ten.", 35, 2)]
 
 
 def test_overlap_in_engine(spark):
@@ -197,3 +197,19 @@ def test_fusion(spark):
     assert score(spark, t=0.75, tn=300)["percentage"] == 75.0 and score(spark)["percentage"] == 0.0
     assert score(spark, exact=True)["is_exact"] and score(spark, t=1.0, tn=5, b=1.0, bn=2)["score"] == 1.0
     assert score(spark, t=float("nan"), tn=5)["score"] == 0.0
+
+
+def test_text_of_tables(spark):
+    t = spark.sql("select array(named_struct('tableIndex', 1, 'rowCount', 1, 'colCount', 2, 'rows', array(array('a', 'b'))), named_struct('tableIndex', 2, 'rowCount', 2, 'colCount', 1, 'rows', array(array('c'), array('d')))) as t")
+    assert t.select(tables.as_text(F.col("t"))).first()[0] == "\n\n[Table Data]:\na b\n\nc\nd"
+
+
+def test_hash_variants(spark):
+    words = ["plain", "größe", "", None, "日本"]
+    df = spark.createDataFrame([(w,) for w in words], "w string").select(hashing.fnv1a32(F.col("w")))
+    assert [r[0] for r in df.collect()] == [None if w is None else int(hashing.fnv_batch([w])[0]) for w in words]
+    sets = [["a", "b"], []]
+    free = hashing.signatures_of(sets, 128, clamped=False)
+    assert (hashing.signatures_of(sets, 128) == free.clip(max=hashing.EMPTY)).all()
+    sig = spark.sql("select array(1L, 2L) as a, array(1L) as b")
+    assert sig.select(hashing.estimated_similarity(F.col("a"), F.col("b")), hashing.estimated_similarity(F.col("a"), F.col("b"), True)).first()[:] == (1.0, 0.0)

@@ -3,13 +3,16 @@ import random
 import zipfile
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
+from affinis import runtime
 from affinis.config import SimilarityConfig
 from affinis.functions.hashing import EMPTY
 from affinis.operators import candidates as C
-from affinis.operators import image_pairs, results
+from affinis.operators import image_pairs, prefix_join, results
 from affinis.plans import pipeline
+from affinis.runtime import table
 from affinis.sources import readers, sinks
 
 RESULTS = "scanId string, documentAId string, documentBId string, fileName1 string, fileName2 string, similarityScore double, matchingPassages array<struct<passageA:string,passageB:string,pageA:int,pageB:int,offsetA:int,offsetB:int,similarity:double,matchedWords:array<string>,matchType:string>>, evidence struct<passages:array<string>,images:array<string>,code:array<string>,tables:array<string>>, algorithm string, createdAt timestamp"
@@ -192,7 +195,7 @@ def test_readers(spark, tmp_path):
     (tmp_path / "d.exe").write_bytes(b"x")
     (tmp_path / "e.docx").write_bytes(b"broken")
     got = {r["filename"]: r for r in readers.read_documents(spark, str(tmp_path)).collect()}
-    assert got["a.docx"]["text"] == "First part\n\nSecond\n\n[Table Data]:\nCell" and got["a.docx"]["images"][0]["width"] == 200
+    assert got["a.docx"]["text"] == "Firstpart\n\nSecond\n\nCell\n\n\n\n[Table Data]:\nCell" and got["a.docx"]["images"][0]["width"] == 200
     assert got["b.txt"]["text"] == "héllo" and got["b.txt"]["error"] is None
     assert all(got[n]["error"] for n in ("c.pdf", "d.exe", "e.docx"))
     with_pdf = {r["filename"]: r for r in readers.read_documents(spark, str(tmp_path), pdf=lambda b: "pages").collect()}
@@ -271,3 +274,72 @@ def test_staged_tables_are_cleared(spark):
 
     kept = stage(spark.range(3), "x")
     assert kept.count() == 3 and clear_staged(spark) >= 1 and clear_staged(spark) == 0
+
+
+def _png(width, height, tail=b""):
+    return b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + width.to_bytes(4, "big") + height.to_bytes(4, "big") + tail
+
+
+def test_word_processor_text(spark, tmp_path):
+    """Runs join without a blank, entities are decoded, cells stand in the text and again as table data, tables apart."""
+    cell = lambda t: f"<w:tc><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>"
+    tbl = lambda a, b: f"<w:tbl><w:tr>{cell(a)}{cell(b)}</w:tr><w:tr>{cell('x')}{cell('y')}</w:tr></w:tbl>"
+    xml = f'<w:p><w:r><w:t>Broken wo</w:t></w:r><w:r><w:t xml:space="preserve">rd &amp; more</w:t></w:r></w:p>{tbl("a", "b")}{tbl("c", "d")}'
+    with zipfile.ZipFile(tmp_path / "t.docx", "w") as z:
+        z.writestr("word/document.xml", xml)
+        z.writestr("word/media/notes.bin", b"no image")
+        z.writestr("word/media/big.png", _png(200, 50))
+        z.writestr("word/media/small.png", _png(90, 50))
+    asked = lambda b: ("int main() { int sum = 0; for (int i = 0; i < 3; i++) { sum += i; } return sum; }", 80.0)
+    r = readers.read_documents(spark, str(tmp_path), ocr=asked).first()
+    assert r["text"] == "Broken word & more\n\na\n\nb\n\nx\n\ny\n\nc\n\nd\n\nx\n\ny\n\n\n\n[Table Data]:\na b\nx y\n\nc d\nx y\n\n[OCR from Screenshot]:\n" + asked(b"")[0]
+    assert [(i["imageId"], i["width"], i["ocrText"] is not None) for i in r["images"]] == [("docx_img_1", 200, True), ("docx_img_2", 90, False)]
+    assert r["images"][0]["dhash"] == r["images"][0]["sha256"][:16] and r["hasOcr"]
+    assert [(c["isFromOcr"], c["sourceImageId"]) for c in r["codeSnippets"]][0] == (True, "docx_img_1") and len(r["tables"]) == 2
+
+
+def test_pdf_pages_and_gated_recognition(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF")
+    (tmp_path / "shot.png").write_bytes(_png(50, 20))
+    (tmp_path / "blur.png").write_bytes(_png(50, 20, b"!"))
+    pictures = [(1, _png(130, 60)), (1, _png(119, 60)), (3, _png(130, 60, b"x"))]
+    pdf = lambda b: (["one page of text", "", "three"], pictures)
+    said = {_png(130, 60): "one page of text and something longer after it", _png(130, 60, b"x"): "too short", _png(50, 20): ("Words  of a\r\npicture", 95.0), _png(50, 20, b"!"): ("a b c", 12.0)}
+    got = {r["filename"]: r for r in readers.read_documents(spark, str(tmp_path), pdf=pdf, ocr=lambda b: said[b]).collect()}
+    p = got["a.pdf"]
+    assert p["text"] == "one page of text\n\nthree\n\n[OCR from Screenshot Page 1]:\none page of text and something longer after it"
+    assert [x["text"] for x in p["pages"]] == ["one page of text", "", "three"] and [i["imageId"] for i in p["images"]] == ["p1_img1", "p1_img2", "p3_img1"]
+    assert [i["ocrText"] is None for i in p["images"]] == [False, True, True]
+    assert got["shot.png"]["text"] == "Words of a\npicture" and got["blur.png"]["text"] == "[Image Document: blur.png]" and got["shot.png"]["pages"][0]["pageNumber"] == 1
+
+
+def test_pages_of_passages(spark):
+    text = "One two three four five. Six seven eight nine ten. Eleven twelve thirteen fourteen."
+    df = spark.createDataFrame([(1, text, [24, 26, 40]), (2, text + " Other words stand here too.", [200])], "doc_id long, text string, lens array<int>")
+    found = pipeline.scan(df, pages="lens").first()["passages"]
+    assert sorted((p["offsetA"], p["pageA"], p["pageB"]) for p in found) == [(0, 1, 1), (24, 1, 1), (50, 2, 1)]
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.4, 0.9])
+def test_prefix_join(spark, threshold):
+    rng = random.Random(3)
+    sets = {i: {rng.randrange(30) for _ in range(rng.randrange(1, 12))} for i in range(50)}
+    df = spark.createDataFrame([(i, sorted(v)) for i, v in sets.items()], "cls long, vals array<long>")
+    want = {(i, j, len(sets[i] & sets[j])) for i in sets for j in sets if i < j and sets[i] & sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= threshold - 1e-9}
+    assert {tuple(r)[:3] for r in prefix_join.similar_sets(df, threshold, block=5).collect()} == want
+    assert prefix_join.similar_sets(df.limit(0), 0.5).count() == 0
+
+
+def test_spread_starts_no_job(spark, data):
+    t = table(spark, data, "documents")
+    joined = t.join(t.groupBy("doc_id").count().hint("shuffle_hash"), "doc_id")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    assert runtime.spread(joined) is joined and runtime.scan_tasks(t.select("doc_id")) == 1 and runtime.spread(t) is not t
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
+
+
+def test_checkpoint_folders(spark, tmp_path):
+    """The folder named in the session comes first, then the one set on the context."""
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert runtime.staging_root(spark).startswith(named.rstrip("/") if named else f"file:{tmp_path}")
