@@ -22,14 +22,23 @@ CONTENT = {
 
 
 def contents(images_table: DataFrame, texts: DataFrame, ident: str = "documentId", body: str = "text", sha: str | None = None) -> DataFrame:
-    """ident and CONTENT of documents: their text and images, and the text as code where it is code.
+    """ident and CONTENT of documents: their text and images, tables where texts has a column of them, and as code their
+    text and the texts recognised in their images, each where it is code.
 
     A text that is code counts in both masses. A document's images are a bounded list: its own.
     """
-    own = images_table.where("documentId is not null").groupBy(F.col("documentId").alias(ident)).agg(F.sort_array(F.collect_list(F.struct("imageId", "sha256", "dhash"))).alias("images"))
-    is_code = code.detection(F.col(body)).is_code
-    base = texts.where(F.col(ident).isNotNull()).select(ident, (F.col(sha) if sha else F.lit(None).cast("string")).alias("sha"), F.col(body).alias("text"), F.lit(None).cast(CONTENT["tables"]).alias("tables"), F.when(is_code, F.array(F.struct(F.col(body).alias("code"), F.lit(False).alias("isFromOcr")))).cast(CONTENT["code"]).alias("code"))
-    return base.join(own, ident, "left")
+    c = F.col
+    kept = [n for n in ("imageId", "sha256", "dhash")]
+    read = c("ocrText") if "ocrText" in images_table.columns else F.lit(None).cast("string")
+    seen = images_table.where("documentId is not null").select(c("documentId").alias(ident), *kept, F.when(code.detection(read).is_code, read).alias("_read"))
+    snippets = F.transform(F.array_sort(F.collect_list("_read")), lambda x: F.struct(x.alias("code"), F.lit(True).alias("isFromOcr")))
+    own = seen.groupBy(ident).agg(F.sort_array(F.collect_list(F.struct(*kept))).alias("images"), snippets.alias("_snippets"))
+    native = F.when(code.detection(c(body)).is_code, F.array(F.struct(c(body).alias("code"), F.lit(False).alias("isFromOcr"))))
+    found = c("tables") if "tables" in texts.columns else F.lit(None)
+    base = texts.where(c(ident).isNotNull()).select(ident, (c(sha) if sha else F.lit(None).cast("string")).alias("sha"), c(body).alias("text"), found.cast(CONTENT["tables"]).alias("tables"), native.cast(CONTENT["code"]).alias("_native"))
+    none = F.array().cast(CONTENT["code"])
+    whole = F.concat(F.coalesce("_native", none), F.coalesce(c("_snippets").cast(CONTENT["code"]), none))
+    return base.join(own, ident, "left").select(ident, "sha", "text", "images", "tables", whole.alias("code"))
 
 
 def documents(images_table: DataFrame, texts: DataFrame, ident: str = "documentId") -> DataFrame:

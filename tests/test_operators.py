@@ -343,3 +343,16 @@ def test_checkpoint_folders(spark, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path))
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert runtime.staging_root(spark).startswith(named.rstrip("/") if named else f"file:{tmp_path}")
+
+
+def test_contents_hold_tables_and_code_read_from_images(spark):
+    from affinis.operators import multimodal as M
+
+    source = "int main() { int sum = 0; for (int i = 0; i < 3; i++) { sum += i; } return sum; }"
+    images = spark.createDataFrame([("i1", "a", "s1", None, source), ("i2", "b", "s2", None, source), ("i3", "b", "s3", None, "a caption")], "imageId string, documentId string, sha256 string, dhash string, ocrText string")
+    rows = "array(named_struct('tableIndex', 1, 'rowCount', 1, 'colCount', 2, 'rows', array(array('left', 'right'))))"
+    texts = spark.sql(f"select d as documentId, 'some words here' as text, {rows} as tables from values ('a'), ('b'), ('c') as t(d)")
+    content = M.contents(images, texts)
+    assert {r["documentId"]: [c["isFromOcr"] for c in r["code"]] for r in content.collect()} == {"a": [True], "b": [True], "c": []}
+    r = M.compare(spark.createDataFrame([("a", "b", 1.0)], "a string, b string, text_score double"), content, "documentId").first()
+    assert r["code_similarity"] == 1.0 and r["table_similarity"] == 1.0 and r["image_similarity"] == 0.0
