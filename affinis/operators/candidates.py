@@ -112,7 +112,8 @@ def jaccard_pairs(sets: DataFrame, ident: str, values: str, threshold: float) ->
     """
     # the filter stays behind the staging: pushed below it, it would compute the sets once more
     hashed = F.sort_array(F.array_distinct(F.transform(values, lambda x: F.xxhash64(x))))
-    own = stage(sets.select(F.col(ident).alias("i"), hashed.alias("vals"), F.unhex(set_key(F.col(values))).alias("k")), "jaccard-sets").where("size(vals) > 0")
+    own = sets.select(F.col(ident).alias("i"), hashed.alias("vals")).withColumn("k", F.unhex(F.sha2(F.array_join(F.col("vals").cast("array<string>"), ","), 256)))
+    own = stage(own, "jaccard-sets").where("size(vals) > 0")
     least = own.groupBy("k").agg(F.min("i").alias("r"))
     ties = own.select("i", "k", F.size("vals").cast("long").alias("shared")).join(least, "k").where("i <> r").select(F.col("r").alias("a"), F.col("i").alias("b"), "shared", F.lit(1.0).alias("jaccard"))
     reps = own.join(least.select("k", F.col("r").alias("i")), ["k", "i"], "left_semi").select(F.col("i").alias("cls"), "vals")
