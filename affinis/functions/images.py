@@ -60,14 +60,15 @@ def dimensions(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([size_of(None if c is None else bytes(c)) or (None, None) for c in content], columns=["width", "height"]).astype("Int32")
 
 
-def _half(h: Column, start: int) -> Column:
+def half(h: Column, start: int) -> Column:
+    """The number that eight hex digits from start on stand for."""
     return F.conv(F.substring(h, start, 8), 16, 10).cast("long")
 
 
 def hamming(a: Column, b: Column) -> Column:
     """Differing bits of two 16-digit hex hashes; 64 where either is null, no hex, or of another length."""
     good = a.rlike("^[0-9a-fA-F]{16}$") & b.rlike("^[0-9a-fA-F]{16}$")
-    bits = F.bit_count(_half(a, 1).bitwiseXOR(_half(b, 1))) + F.bit_count(_half(a, 9).bitwiseXOR(_half(b, 9)))
+    bits = F.bit_count(half(a, 1).bitwiseXOR(half(b, 1))) + F.bit_count(half(a, 9).bitwiseXOR(half(b, 9)))
     return F.when(F.coalesce(good, F.lit(False)), bits).otherwise(64)
 
 

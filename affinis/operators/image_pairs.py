@@ -3,27 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinis.functions.images import distance_similarity, hamming
+from affinis.functions.images import distance_similarity, half, hamming
 from affinis.operators.candidates import BLOCK, pairs_in_buckets
 from affinis.runtime import stage
 
-#: Blocks of a 64-bit hash, and bits of each.
-BLOCKS, BITS = 4, 16
+#: Hashes of a tile; two tiles are compared whole. Larger ones cost a comparison less, smaller ones give more tasks.
+TILE = 16384
+#: Pairs that a task holds before it hands them on.
+HELD = 1 << 18
 #: Bits apart up to which images.best_of counts two images as alike: a similarity of 0.50.
 ALIKE = 16
 
 
-def _masks(radius: int) -> list[int]:
-    return [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(BITS), r)]
-
-
 def hash_classes(images: DataFrame) -> DataFrame:
     """dhash, images, documents, a_document: one row for each well-formed hash."""
     good = images.where(F.col("dhash").rlike("^[0-9a-fA-F]{16}$")).select(F.lower("dhash").alias("dhash"), "documentId")
@@ -34,19 +31,13 @@ def close_hashes(images: DataFrame, most: int = 12) -> DataFrame:
     """(dhash_a, dhash_b, distance, similarity) of different hashes at most `most` bits apart that occur in different
     documents.
 
-    A pair within the distance has a block of 16 bits within most // 4 of it. One side is indexed by its blocks, the
-    other asks with every block value in that radius, so no pair is compared that shares no block. Copies of a hash are
-    one class; images of a null or malformed hash are 64 bits from everything.
+    Copies of a hash are one class; images of a null or malformed hash are 64 bits from everything.
     """
-    classes = hash_classes(images)
-    block = lambda i: F.conv(F.substring("dhash", 1 + 4 * i, 4), 16, 10).cast("int")
-    blocks = F.array(*[F.struct(F.lit(i).alias("i"), block(i).alias("v")) for i in range(BLOCKS)])
-    index = classes.select(F.col("dhash").alias("dhash_a"), F.col("a_document").alias("doc_a"), F.col("documents").alias("docs_a"), F.explode(blocks).alias("k")).select("dhash_a", "doc_a", "docs_a", "k.i", "k.v")
-    masks = F.array(*[F.lit(m) for m in _masks(most // BLOCKS)])
-    asked = classes.select(F.col("dhash").alias("dhash_b"), F.col("a_document").alias("doc_b"), F.col("documents").alias("docs_b"), F.explode(blocks).alias("k")).select("dhash_b", "doc_b", "docs_b", F.col("k.i").alias("i"), F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("k.v")))).alias("v"))
-    met = index.join(asked, ["i", "v"]).where(F.col("dhash_a") < F.col("dhash_b")).where((F.col("doc_a") != F.col("doc_b")) | (F.col("docs_a") > 1) | (F.col("docs_b") > 1))
-    near = met.withColumn("distance", hamming(F.col("dhash_a"), F.col("dhash_b"))).where(F.col("distance") <= most)
-    return near.select("dhash_a", "dhash_b", "distance").distinct().withColumn("similarity", distance_similarity(F.col("distance")))
+    classes = stage(hash_classes(images), "image-classes")
+    side = lambda s: classes.select(F.col("dhash").alias(f"dhash_{s}"), F.col("a_document").alias(f"doc_{s}"), F.col("documents").alias(f"docs_{s}"))
+    near = near_hashes(classes.select("dhash"), most).join(side("a"), "dhash_a").join(side("b"), "dhash_b")
+    kept = near.where((F.col("doc_a") != F.col("doc_b")) | (F.col("docs_a") > 1) | (F.col("docs_b") > 1))
+    return kept.withColumn("distance", hamming(F.col("dhash_a"), F.col("dhash_b"))).select("dhash_a", "dhash_b", "distance", distance_similarity(F.col("distance")).alias("similarity"))
 
 
 def same_content(images: DataFrame) -> DataFrame:
@@ -60,28 +51,48 @@ def _compared(most: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for same, x, y in zip(pdf["same"], pdf["x"], pdf["y"]):
-                left, right = (np.array([int(h, 16) for h in side], dtype=np.uint64) for side in (x, y))
+                left, right = (np.ascontiguousarray(side, dtype=np.int64).view(np.uint64) for side in (x, y))
+                differ, bits = np.empty_like(right), np.empty(len(right), dtype=np.uint8)
+                met, held = [], 0
                 for k, h in enumerate(left):
-                    at = np.flatnonzero(np.bitwise_count(right ^ h) <= most)
-                    met = [(min(x[k], y[j]), max(x[k], y[j])) for j in at if (x[k] < y[j] if same else x[k] != y[j])]
-                    if met:
-                        yield pd.DataFrame(met, columns=["dhash_a", "dhash_b"])
+                    # a tile against itself: only what comes after h
+                    start = k + 1 if same else 0
+                    np.bitwise_xor(right[start:], h, out=differ[start:])
+                    np.bitwise_count(differ[start:], out=bits[start:])
+                    at = np.flatnonzero(bits[start:] <= most)
+                    if len(at):
+                        met.append((np.full(len(at), h), right[start:][at]))
+                        held += len(at)
+                    if held >= HELD:
+                        yield _ordered(met)
+                        met, held = [], 0
+                if met:
+                    yield _ordered(met)
 
     return run
 
 
-def near_hashes(hashes: DataFrame, most: int = ALIKE, block: int = BLOCK) -> DataFrame:
+def _ordered(met: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    x, y = (np.concatenate(side) for side in zip(*met))
+    return pd.DataFrame({"a": np.minimum(x, y).view(np.int64), "b": np.maximum(x, y).view(np.int64)})
+
+
+def near_hashes(hashes: DataFrame, most: int = ALIKE, block: int = TILE) -> DataFrame:
     """(dhash_a, dhash_b) of different hashes at most `most` bits apart; hashes: distinct, well-formed, lower case.
 
-    At a quarter of all bits an index by blocks meets a large share of all pairs, each dearer than a comparison, so
-    blocks of hashes are compared whole, by machine words.
+    An index by blocks of the hash asks for hundreds of values a hash and still meets a share of all pairs, each dearer
+    than a comparison, so tiles of hashes are compared whole, by machine words. The time grows with the square of the
+    hashes; what moves is a copy of each tile for every other.
     """
-    n = hashes.agg(F.ceil(F.count(F.lit(1)) / block).alias("_n"))
-    placed = hashes.join(F.broadcast(n), F.lit(True)).select("dhash", F.pmod(F.xxhash64("dhash"), F.col("_n")).cast("int").alias("_b"))
-    blocks = stage(placed.groupBy("_b").agg(F.collect_list("dhash").alias("x")), "image-blocks")
-    met = blocks.join(blocks.select(F.col("_b").alias("_c"), F.col("x").alias("y")), F.col("_b") <= F.col("_c"))
-    tasks = met.select((F.col("_b") == F.col("_c")).alias("same"), "x", "y").repartition(hashes.sparkSession.sparkContext.defaultParallelism * 2)
-    return tasks.mapInPandas(_compared(most), "dhash_a string, dhash_b string")
+    number = stage(hashes.select(F.shiftleft(half(F.col("dhash"), 1), 32).bitwiseOR(half(F.col("dhash"), 9)).alias("v")), "image-numbers")
+    n = max(1, -(-number.count() // block))
+    tiles = stage(number.groupBy(F.pmod(F.xxhash64("v"), F.lit(n)).cast("int").alias("_b")).agg(F.collect_list("v").alias("x")), "image-tiles")
+    met = tiles.join(tiles.select(F.col("_b").alias("_c"), F.col("x").alias("y")), F.col("_b") <= F.col("_c"))
+    # few pairs of tiles in a task, since a batch holds all of them
+    tasks = max(hashes.sparkSession.sparkContext.defaultParallelism * 2, n * n // 64)
+    found = met.select((F.col("_b") == F.col("_c")).alias("same"), "x", "y").repartition(tasks).mapInPandas(_compared(most), "a long, b long")
+    digits = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0").alias(f"dhash_{c}")
+    return found.select(digits("a"), digits("b"))
 
 
 def document_pairs(images: DataFrame, most: int = ALIKE) -> DataFrame:

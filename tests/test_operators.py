@@ -1,5 +1,6 @@
 import io
 import random
+import re
 import zipfile
 from datetime import datetime
 
@@ -153,6 +154,22 @@ def test_image_pairs_brute_force(spark):
     assert {(r["dhash_a"], r["dhash_b"]) for r in image_pairs.close_hashes(df).collect()} == want
 
 
+def test_close_hashes_send_no_neighbour_values(spark, monkeypatch):
+    """No row for each value near a hash: 2,788 of them a hash were broadcast or shuffled. Tiles give what one block gives."""
+    rng = random.Random(11)
+    base = [0, 15, (1 << 64) - 1, 1 << 63, *(rng.getrandbits(64) for _ in range(30))]
+    hashes = sorted({f"{b ^ sum(1 << i for i in rng.sample(range(64), k)):016x}" for b in base for k in (0, 1, 6, 12, 13)})
+    df = spark.createDataFrame([(f"d{i % 7}", h.upper() if i % 2 else h) for i, h in enumerate(hashes)], "documentId string, dhash string")
+    got = image_pairs.close_hashes(df)
+    assert not re.search("Generate|explode", got._jdf.queryExecution().toString())
+    bits = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count()
+    want = sorted((a, b, bits(a, b)) for i, a in enumerate(hashes) for j, b in enumerate(hashes) if i < j and (j - i) % 7 and bits(a, b) <= 12)
+    assert sorted((r["dhash_a"], r["dhash_b"], r["distance"]) for r in got.collect()) == want
+    monkeypatch.setattr(image_pairs, "HELD", 3)
+    apart = image_pairs.near_hashes(spark.createDataFrame([(h,) for h in hashes], "dhash string"), 12, block=20)
+    assert sorted(tuple(r) for r in apart.collect()) == [(a, b) for i, a in enumerate(hashes) for b in hashes[i + 1 :] if bits(a, b) <= 12]
+
+
 def test_document_pairs_by_images(spark):
     """Every two documents with an image that best_of counts, also far ones, hot ones and those without a text."""
     from affinis.operators import multimodal as M
