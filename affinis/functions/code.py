@@ -64,21 +64,31 @@ def _jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 
 
-def comparison(a: Column, b: Column) -> Column:
-    """STRUCT<similarity, matching_lines, tokens_a, tokens_b> of two code columns.
+def score_of(ta: Column, tb: Column, xa: Column, xb: Column) -> Column:
+    """0.6 of the similarity is that of the tokens, 0.4 that of the tokens with names abstracted; not rounded."""
+    return 0.6 * _jaccard(ta, tb) + 0.4 * _jaccard(xa, xb)
 
-    0.6 of the similarity is that of the tokens, 0.4 that of the tokens with names abstracted. Evidence are the first 10
-    lines longer than 5 characters that both have, or, if none and the similarity is 0.5 or more, lines of a with a line
-    of equal abstract tokens, three or more, in b.
-    """
-    la, lb = normalized_lines(a), normalized_lines(b)
-    ta, tb = code_tokens(la), code_tokens(lb)
-    both = (F.size(ta) > 0) & (F.size(tb) > 0)
-    score = 0.6 * _jaccard(ta, tb) + 0.4 * _jaccard(code_tokens(la, True), code_tokens(lb, True))
+
+def similarity_of(ta: Column, tb: Column, score: Column) -> Column:
+    return F.when((F.size(ta) > 0) & (F.size(tb) > 0), rounded(F.least(score, F.lit(1.0)), 4)).otherwise(0.0)
+
+
+def matching_lines(la: Column, lb: Column, ta: Column, tb: Column, score: Column) -> Column:
+    """Evidence: the first 10 lines longer than 5 characters that both have, or, if none and the similarity is 0.5 or more,
+    lines of a with a line of equal abstract tokens, three or more, in b."""
     shape = lambda line: code_tokens(F.array(line), True)
     equal = F.filter(la, lambda x: (F.length(x) > 5) & F.array_contains(lb, x))
     shapes = F.transform(lb, lambda y: F.array_join(shape(y), " "))
     alike = F.filter(la, lambda x: (F.size(shape(x)) >= 3) & F.array_contains(shapes, F.array_join(shape(x), " ")))
-    lines = F.when(F.size(equal) > 0, equal).when(score >= 0.5, alike).otherwise(F.array().cast(_NO_STRINGS))
     none = F.array().cast(_NO_STRINGS)
-    return F.struct(F.when(both, rounded(F.least(score, F.lit(1.0)), 4)).otherwise(0.0).alias("similarity"), F.when(both, F.slice(lines, 1, 10)).otherwise(none).alias("matching_lines"), F.when(both, F.size(ta)).otherwise(0).alias("tokens_a"), F.when(both, F.size(tb)).otherwise(0).alias("tokens_b"))
+    lines = F.when(F.size(equal) > 0, equal).when(score >= 0.5, alike).otherwise(none)
+    return F.when((F.size(ta) > 0) & (F.size(tb) > 0), F.slice(lines, 1, 10)).otherwise(none)
+
+
+def comparison(a: Column, b: Column) -> Column:
+    """STRUCT<similarity, matching_lines, tokens_a, tokens_b> of two code columns."""
+    la, lb = normalized_lines(a), normalized_lines(b)
+    ta, tb = code_tokens(la), code_tokens(lb)
+    both = (F.size(ta) > 0) & (F.size(tb) > 0)
+    score = score_of(ta, tb, code_tokens(la, True), code_tokens(lb, True))
+    return F.struct(similarity_of(ta, tb, score).alias("similarity"), matching_lines(la, lb, ta, tb, score).alias("matching_lines"), F.when(both, F.size(ta)).otherwise(0).alias("tokens_a"), F.when(both, F.size(tb)).otherwise(0).alias("tokens_b"))

@@ -60,15 +60,14 @@ def dimensions(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([size_of(None if c is None else bytes(c)) or (None, None) for c in content], columns=["width", "height"]).astype("Int32")
 
 
-def half(h: Column, start: int) -> Column:
-    """The number that eight hex digits from start on stand for."""
+def _half(h: Column, start: int) -> Column:
     return F.conv(F.substring(h, start, 8), 16, 10).cast("long")
 
 
 def hamming(a: Column, b: Column) -> Column:
     """Differing bits of two 16-digit hex hashes; 64 where either is null, no hex, or of another length."""
     good = a.rlike("^[0-9a-fA-F]{16}$") & b.rlike("^[0-9a-fA-F]{16}$")
-    bits = F.bit_count(half(a, 1).bitwiseXOR(half(b, 1))) + F.bit_count(half(a, 9).bitwiseXOR(half(b, 9)))
+    bits = F.bit_count(_half(a, 1).bitwiseXOR(_half(b, 1))) + F.bit_count(_half(a, 9).bitwiseXOR(_half(b, 9)))
     return F.when(F.coalesce(good, F.lit(False)), bits).otherwise(64)
 
 
@@ -87,14 +86,30 @@ def adds_text(recognised: Column, known: Column) -> Column:
     return F.coalesce((F.length(recognised) > 15) & ~F.contains(F.coalesce(known, F.lit("")), F.substring(recognised, 1, 30)), F.lit(False))
 
 
-def similarity(sha_a: Column, sha_b: Column, dhash_a: Column, dhash_b: Column) -> Column:
-    """1 for equal bytes, else what the distance of the perceptual hashes gives."""
-    return F.when(F.coalesce(F.lower(sha_a) == F.lower(sha_b), F.lit(False)), 1.0).otherwise(distance_similarity(hamming(dhash_a, dhash_b)))
+def number(h: Column) -> Column:
+    """The 64 bits of a 16-digit hex hash as a signed number; null where it is null, no hex, or of another length."""
+    return F.when(h.rlike("^[0-9a-fA-F]{16}$"), F.shiftleft(_half(h, 1), 32).bitwiseOR(_half(h, 9)))
 
 
-def best_of(images_a: Column, images_b: Column, least: float = 0.50) -> Column:
-    """STRUCT<similarity, matches> of two arrays of STRUCT<imageId, sha256, dhash>: pairs at `least` or above, and the
-    highest similarity among them, 0 without any."""
-    pairs = F.flatten(F.transform(images_a, lambda x: F.transform(images_b, lambda y: F.struct(x.imageId.alias("imageAId"), y.imageId.alias("imageBId"), similarity(x.sha256, y.sha256, x.dhash, y.dhash).alias("similarity")))))
-    kept = F.filter(pairs, lambda p: p.similarity >= least)
-    return F.struct(F.coalesce(F.array_max(F.transform(kept, lambda p: p.similarity)), F.lit(0.0)).alias("similarity"), kept.alias("matches"))
+def keyed(images: Column) -> Column:
+    """ARRAY<STRUCT<imageId, sha, bits>> of an array of STRUCT<imageId, sha256, dhash>, as best_of takes it: hashes are read
+    once an image, not once a pair."""
+    return F.transform(images, lambda x: F.struct(x.imageId.alias("imageId"), F.lower(x.sha256).alias("sha"), number(x.dhash).alias("bits")))
+
+
+def similarity(x: Column, y: Column) -> Column:
+    """Of two images as `keyed` gives them: 1 for equal bytes, else what the distance of the perceptual hashes gives, 64
+    where either has none."""
+    distance = F.coalesce(F.bit_count(x.bits.bitwiseXOR(y.bits)), F.lit(64))
+    return F.when(F.coalesce(x.sha == y.sha, F.lit(False)), 1.0).otherwise(distance_similarity(distance))
+
+
+def matches(images_a: Column, images_b: Column, least: float = 0.50) -> Column:
+    """ARRAY<STRUCT<imageAId, imageBId, similarity>> of two arrays as `keyed` gives them: pairs at `least` or above."""
+    pairs = F.flatten(F.transform(images_a, lambda x: F.transform(images_b, lambda y: F.struct(x.imageId.alias("imageAId"), y.imageId.alias("imageBId"), similarity(x, y).alias("similarity")))))
+    return F.filter(pairs, lambda p: p.similarity >= least)
+
+
+def best_of(matched: Column) -> Column:
+    """The highest similarity among matches, 0 without any."""
+    return F.coalesce(F.array_max(F.transform(matched, lambda p: p.similarity)), F.lit(0.0))

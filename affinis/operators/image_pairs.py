@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinis.functions.images import distance_similarity, half, hamming
+from affinis.functions.images import distance_similarity, hamming, number
 from affinis.operators.candidates import BLOCK, pairs_in_buckets
 from affinis.runtime import stage
 
@@ -17,7 +17,7 @@ from affinis.runtime import stage
 TILE = 16384
 #: Pairs that a task holds before it hands them on.
 HELD = 1 << 18
-#: Bits apart up to which images.best_of counts two images as alike: a similarity of 0.50.
+#: Bits apart up to which images.matches counts two images as alike: a similarity of 0.50.
 ALIKE = 16
 
 
@@ -84,9 +84,9 @@ def near_hashes(hashes: DataFrame, most: int = ALIKE, block: int = TILE) -> Data
     than a comparison, so tiles of hashes are compared whole, by machine words. The time grows with the square of the
     hashes; what moves is a copy of each tile for every other.
     """
-    number = stage(hashes.select(F.shiftleft(half(F.col("dhash"), 1), 32).bitwiseOR(half(F.col("dhash"), 9)).alias("v")), "image-numbers")
-    n = max(1, -(-number.count() // block))
-    tiles = stage(number.groupBy(F.pmod(F.xxhash64("v"), F.lit(n)).cast("int").alias("_b")).agg(F.collect_list("v").alias("x")), "image-tiles")
+    values = stage(hashes.select(number(F.col("dhash")).alias("v")), "image-numbers")
+    n = max(1, -(-values.count() // block))
+    tiles = stage(values.groupBy(F.pmod(F.xxhash64("v"), F.lit(n)).cast("int").alias("_b")).agg(F.collect_list("v").alias("x")), "image-tiles")
     met = tiles.join(tiles.select(F.col("_b").alias("_c"), F.col("x").alias("y")), F.col("_b") <= F.col("_c"))
     # few pairs of tiles in a task, since a batch holds all of them
     tasks = max(hashes.sparkSession.sparkContext.defaultParallelism * 2, n * n // 64)

@@ -20,6 +20,9 @@ CONTENT = {
     "code": "array<struct<code:string,isFromOcr:boolean>>",
 }
 
+#: Two tables found alike, as tables.best_of lists them.
+MATCHES = "array<struct<tableAIndex:int,tableBIndex:int,similarity:double>>"
+
 
 def contents(images_table: DataFrame, texts: DataFrame, ident: str = "documentId", body: str = "text", sha: str | None = None) -> DataFrame:
     """ident and CONTENT of documents: their text and images, tables where texts has a column of them, and as code their
@@ -49,32 +52,58 @@ def documents(images_table: DataFrame, texts: DataFrame, ident: str = "documentI
 
 def candidates(images_table: DataFrame, feats: DataFrame, ident: str = "documentId", config: SimilarityConfig = DEFAULT) -> DataFrame:
     """(a, b, text_score) of documents whose texts or images are alike; the score is that of their sets, 1 for equal hashes."""
+    # sets travel as 64-bit hashes; whatever the plan reads several times is made once
+    hashed = F.transform("shingles", lambda x: F.xxhash64(x))
+    known = stage(feats.select(ident, "sha", "norm_hash", "sig", C.set_key(F.col("shingles")).alias("set_key"), hashed.alias("vals")), "multimodal-sets")
     seen = image_pairs.document_pairs(images_table).withColumn("is_exact", F.lit(False))
-    pairs = C.candidates(feats, ident, config).unionByName(seen).groupBy("a", "b").agg(F.max("is_exact").alias("is_exact"))
-    scored = C.set_scores(stage(pairs, "multimodal-pairs"), feats, ident)
+    pairs = C.candidates(known.drop("vals"), ident, config).unionByName(seen).groupBy("a", "b").agg(F.max("is_exact").alias("is_exact"))
+    scored = C.set_scores(stage(pairs, "multimodal-pairs"), known, ident, "vals")
     return scored.select("a", "b", F.when(F.col("is_exact"), 1.0).otherwise(F.col("jaccard")).alias("text_score"))
 
 
+def sides(content: DataFrame, ident: str) -> DataFrame:
+    """What `compare` needs of each document, made once: a document meets many others, and its texts are of no further use
+    than as keys, counts and normalised code."""
+    c = F.col
+    none = {k: F.array().cast(t) for k, t in CONTENT.items() if t.startswith("array")}
+    whole = content.select(c(ident).alias("id"), "sha", F.coalesce("text", F.lit("")).alias("_text"), *[F.coalesce(k, v).alias(k) for k, v in none.items()])
+    cells = F.aggregate(F.transform("tables", lambda x: x.rowCount * x.colCount), F.lit(0), lambda x, y: x + y)
+    snippets = F.array_join(F.transform("code", lambda x: x.code), "\n")
+    ocr = F.exists("code", lambda x: F.coalesce(x.isFromOcr, F.lit(False)))
+    words = F.when(c("_text") != "", text.white_space_tokens(c("_text"))).otherwise(0)
+    plain = whole.select("id", "sha", text.normalized(c("_text")).alias("_norm"), F.array_join(text.tokens(c("_text")), " ").alias("_toks"), words.alias("words"), images.keyed(c("images")).alias("images"), "tables", cells.alias("cells"), snippets.alias("_code"), ocr.alias("ocr"))
+    key = lambda k: F.when(c(k) != "", F.unhex(F.sha2(k, 256)))
+    lines = F.when(c("_code") != "", code.normalized_lines(c("_code"))).otherwise(F.array().cast("array<string>"))
+    names = F.when(c("_code") != "", F.size(F.regexp_extract_all("_code", F.lit(r"\w+"), F.lit(0)))).otherwise(0)
+    lined = plain.select("id", "sha", key("_norm").alias("norm"), key("_toks").alias("toks"), "words", "images", "tables", "cells", "ocr", names.alias("names"), lines.alias("lines"))
+    tokens = F.array_distinct(code.code_tokens(c("lines"))), F.array_distinct(code.code_tokens(c("lines"), True))
+    return stage(lined.select("*", tokens[0].alias("code"), tokens[1].alias("shapes")), "multimodal-sides")
+
+
 def compare(pairs: DataFrame, content: DataFrame, ident: str) -> DataFrame:
     """pairs (a, b, text_score) with score, percentage, is_exact and the evidence of images, tables and code.
 
     Equal file hashes, and canonically equal texts of documents without images and tables, are exact. Canonically equal
     texts otherwise count as text similarity 1. Null and empty parts have no mass.
     """
-    none = {k: F.array().cast(t) for k, t in CONTENT.items() if t.startswith("array")}
-    side = lambda s: content.select(F.col(ident).alias(s), F.col("sha").alias(f"sha_{s}"), F.coalesce("text", F.lit("")).alias(f"text_{s}"), text.normalized(F.coalesce("text", F.lit(""))).alias(f"norm_{s}"), F.array_join(text.tokens(F.col("text")), " ").alias(f"toks_{s}"), *[F.coalesce(k, v).alias(f"{k}_{s}") for k, v in none.items()])
-    wide = pairs.join(side("a"), "a").join(side("b"), "b")
     c = F.col
-    filled = (c("norm_a") != "") & (c("norm_b") != "")
-    same_text = filled & ((c("norm_a") == c("norm_b")) | ((c("toks_a") == c("toks_b")) & (c("toks_a") != "")))
+    known = sides(content, ident)
+    side = lambda s: known.select(*[c(k).alias(s if k == "id" else f"{k}_{s}") for k in known.columns])
+    wide = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = lambda k: (c(f"{k}_a"), c(f"{k}_b"))
+    equal = lambda k: F.coalesce(c(f"{k}_a") == c(f"{k}_b"), F.lit(False))
+    same_text = c("norm_a").isNotNull() & c("norm_b").isNotNull() & (equal("norm") | equal("toks"))
     others = (F.size("images_a") + F.size("images_b") + F.size("tables_a") + F.size("tables_b")) > 0
-    exact = F.coalesce(c("sha_a") == c("sha_b"), F.lit(False)) | (same_text & ~others)
-    snippets = lambda s: F.array_join(F.transform(c(f"code_{s}"), lambda x: x.code), "\n")
-    wide = wide.withColumn("i", images.best_of(c("images_a"), c("images_b"))).withColumn("t", tables.best_of(c("tables_a"), c("tables_b"))).withColumn("c", code.comparison(snippets("a"), snippets("b")))
-    words = lambda s: F.when(c(f"text_{s}") != "", text.white_space_tokens(c(f"text_{s}"))).otherwise(0)
-    names = lambda s: F.size(F.regexp_extract_all(snippets(s), F.lit(r"\w+"), F.lit(0)))
-    cells = lambda s: F.aggregate(F.transform(c(f"tables_{s}"), lambda x: x.rowCount * x.colCount), F.lit(0), lambda x, y: x + y)
-    read = F.exists("code_a", lambda x: F.coalesce(x.isFromOcr, F.lit(False))) | F.exists("code_b", lambda x: F.coalesce(x.isFromOcr, F.lit(False)))
-    total = scoring.overall_score(exact, F.when(same_text, 1.0).otherwise(c("text_score")), (words("a"), words("b")), c("i.similarity"), (F.size("images_a"), F.size("images_b")), c("c.similarity"), (names("a"), names("b")), c("t.similarity"), (cells("a"), cells("b")), read)
-    out = wide.withColumn("o", total)
-    return out.select("a", "b", c("o.score").alias("score"), c("o.percentage").alias("percentage"), c("o.is_exact").alias("is_exact"), c("i.similarity").alias("image_similarity"), c("c.similarity").alias("code_similarity"), c("t.similarity").alias("table_similarity"), c("i.matches").alias("image_matches"), c("c.matching_lines").alias("code_lines"), c("t.matches").alias("table_matches"))
+    exact = equal("sha") | (same_text & ~others)
+    tabled, coded = (F.size("tables_a") > 0) & (F.size("tables_b") > 0), (F.size("code_a") > 0) & (F.size("code_b") > 0)
+    wide = wide.withColumn("image_matches", images.matches(*both("images"))).withColumn("t", F.when(tabled, tables.best_of(*both("tables")))).withColumn("_score", F.when(coded, code.score_of(*both("code"), *both("shapes"))))
+    evidence = wide.withColumns({
+        "image_similarity": images.best_of(c("image_matches")),
+        "code_similarity": F.when(coded, code.similarity_of(*both("code"), c("_score"))).otherwise(0.0),
+        "code_lines": F.when(coded, code.matching_lines(*both("lines"), *both("code"), c("_score"))).otherwise(F.array().cast("array<string>")),
+        "table_similarity": F.coalesce(c("t.similarity"), F.lit(0.0)),
+        "table_matches": F.coalesce(c("t.matches"), F.array().cast(MATCHES)),
+    })
+    total = scoring.overall_score(exact, F.when(same_text, 1.0).otherwise(c("text_score")), both("words"), c("image_similarity"), (F.size("images_a"), F.size("images_b")), c("code_similarity"), both("names"), c("table_similarity"), both("cells"), c("ocr_a") | c("ocr_b"))
+    out = evidence.withColumn("o", total)
+    return out.select("a", "b", c("o.score").alias("score"), c("o.percentage").alias("percentage"), c("o.is_exact").alias("is_exact"), "image_similarity", "code_similarity", "table_similarity", "image_matches", "code_lines", "table_matches")

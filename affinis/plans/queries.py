@@ -195,10 +195,8 @@ def multimodal_scores(s: SparkSession, d: str) -> DataFrame:
     seen = table(s, d, "images")
     items = table(s, d, "document_items").where("documentId is not null").groupBy("documentId").agg(F.max_by("text", "item_id").alias("text"))
     items = stage(multimodal.documents(seen, items), "items")
-    f = stage(C.features(items, "documentId"), "features")
-    pairs = multimodal.candidates(seen, f)
-    content = stage(multimodal.contents(seen, items), "contents")
-    got = multimodal.compare(stage(pairs, "pairs"), content, "documentId")
+    pairs = multimodal.candidates(seen, C.features(items, "documentId"))
+    got = multimodal.compare(stage(pairs, "pairs"), multimodal.contents(seen, items), "documentId")
     return got.select("a", "b", "score", "percentage", "is_exact", "image_similarity", "code_similarity", "table_similarity")
 
 

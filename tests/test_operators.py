@@ -387,3 +387,25 @@ def test_contents_hold_tables_and_code_read_from_images(spark):
     assert {r["documentId"]: [c["isFromOcr"] for c in r["code"]] for r in content.collect()} == {"a": [True], "b": [True], "c": []}
     r = M.compare(spark.createDataFrame([("a", "b", 1.0)], "a string, b string, text_score double"), content, "documentId").first()
     assert r["code_similarity"] == 1.0 and r["table_similarity"] == 1.0 and r["image_similarity"] == 0.0
+
+
+def test_pairs_carry_keys_not_texts(spark):
+    """Code is cut into tokens and hashes are read once a document, not for every pair it is in; results as of the pair."""
+    from affinis.functions import code
+    from affinis.operators import multimodal as M
+
+    loop = "int main() {{ int {0} = 0; for (int i = 0; i < 3; i++) {{ {0} += i; }} return {0}; }}"
+    texts = {"a": loop.format("sum"), "b": loop.format("all") + " // other names", "c": "plain words, no code", "d": "Plain  WORDS; no code", "e": None, "f": ""}
+    images = spark.createDataFrame([("i1", "a", "X", "0F0F0F0F0F0F0F0F"), ("i2", "b", "x", None), ("i3", "c", "y", "0f0f0f0f0f0f0f01"), ("i4", "d", None, "bad"), ("i5", "d", "z", "ffffffffffffffff"), ("i6", "f", None, None)], "imageId string, documentId string, sha256 string, dhash string")
+    content = M.contents(images, spark.createDataFrame(list(texts.items()), "documentId string, text string"))
+    pairs = [(x, y, 0.25) for x in texts for y in texts if x < y]
+    got = M.compare(spark.createDataFrame(pairs, "a string, b string, text_score double"), content, "documentId")
+    assert not re.search("regexp|split|nfkc", got.select("a", "b", "image_similarity", "code_similarity")._jdf.queryExecution().optimizedPlan().toString())
+    rows = {(r["a"], r["b"]): r for r in got.collect()}
+    assert len(rows) == len(pairs)
+    want = spark.createDataFrame([(texts["a"], texts["b"])], "x string, y string").select(code.comparison(F.col("x"), F.col("y")).alias("c")).first()["c"]
+    ab, cd = rows["a", "b"], rows["c", "d"]
+    assert ab["code_similarity"] == want["similarity"] > 0.5 and ab["code_lines"] == want["matching_lines"] and ab["image_similarity"] == 1.0
+    assert rows["a", "c"]["image_similarity"] == 0.9063 and rows["a", "c"]["code_similarity"] == 0.0 and rows["a", "c"]["code_lines"] == []
+    assert cd["image_similarity"] == 0.0 and cd["image_matches"] == [] and cd["table_similarity"] == 0.0 and cd["table_matches"] == []
+    assert cd["score"] == round(4 / (4 + 225), 4) and not cd["is_exact"] and rows["e", "f"]["score"] == 0.0
