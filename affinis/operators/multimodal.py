@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from affinis.config import DEFAULT, SimilarityConfig
 from affinis.functions import code, images, scoring, tables, text
 from affinis.operators import candidates as C
-from affinis.operators import image_pairs
+from affinis.operators import image_pairs, set_pairs
 from affinis.runtime import stage
 
 #: Columns of a document's content, with an empty value for each.
@@ -50,15 +50,31 @@ def documents(images_table: DataFrame, texts: DataFrame, ident: str = "documentI
     return texts.where(F.col(ident).isNotNull()).join(own, ident, "full")
 
 
-def candidates(images_table: DataFrame, feats: DataFrame, ident: str = "documentId", config: SimilarityConfig = DEFAULT) -> DataFrame:
-    """(a, b, text_score) of documents whose texts or images are alike; the score is that of their sets, 1 for equal hashes."""
-    # sets travel as 64-bit hashes; whatever the plan reads several times is made once
+def candidates(images_table: DataFrame, feats: DataFrame, ident: str = "documentId", config: SimilarityConfig = DEFAULT, least: float | None = None) -> DataFrame:
+    """(a, b, text_score) of every two documents whose texts or images are alike; the score is that of their sets, 1 for
+    equal hashes.
+
+    Texts are alike that are equal, whose sets have a similarity of least or above, config.estimate_floor if not given, or
+    that share a band below it. Copies are no stand-ins for each other, since their images may differ.
+    """
+    least = config.estimate_floor if least is None else least
+    # sets travel as 64-bit hashes and documents as numbers; whatever the plan reads several times is made once
     hashed = F.transform("shingles", lambda x: F.xxhash64(x))
-    known = stage(feats.select(ident, "sha", "norm_hash", "sig", C.set_key(F.col("shingles")).alias("set_key"), hashed.alias("vals")), "multimodal-sets")
-    seen = image_pairs.document_pairs(images_table).withColumn("is_exact", F.lit(False))
-    pairs = C.candidates(known.drop("vals"), ident, config).unionByName(seen).groupBy("a", "b").agg(F.max("is_exact").alias("is_exact"))
+    known = stage(feats.select(F.monotonically_increasing_id().alias("n"), ident, "norm_hash", "sig", hashed.alias("vals")), "multimodal-sets")
+    # equal bytes are equal canonical texts
+    exact = C.pairs_in_buckets(known.where("norm_hash is not null").select("n", "norm_hash"), ["norm_hash"], "n").withColumn("how", F.lit(2))
+    bands = C.band_rows(known, "n", config).select("n", F.xxhash64("band", "key").alias("k"))
+    near = C.pairs_in_buckets(bands, ["k"], "n").withColumn("how", F.lit(1))
+    close = set_pairs.overlapping(known, "n", "vals", least).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(0).alias("how"))
+    numbered = exact.unionByName(near).unionByName(close).groupBy("a", "b").agg(F.max("how").alias("how"))
+    name = lambda s: known.select(F.col("n").alias(s), F.col(ident).alias(f"_{s}"))
+    texts = numbered.join(name("a"), "a").join(name("b"), "b").where("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "how")
+    seen = image_pairs.document_pairs(images_table).withColumn("how", F.lit(1))
+    pairs = texts.unionByName(seen).groupBy("a", "b").agg(F.max("how").alias("how"))
     scored = C.set_scores(stage(pairs, "multimodal-pairs"), known, ident, "vals")
-    return scored.select("a", "b", F.when(F.col("is_exact"), 1.0).otherwise(F.col("jaccard")).alias("text_score"))
+    # close only by the hashes of 32 bits, unless their sets say so
+    scored = scored.where((F.col("how") > 0) | (F.col("jaccard") >= F.lit(float(least)) - 1e-9))
+    return scored.select("a", "b", F.when(F.col("how") == 2, 1.0).otherwise(F.col("jaccard")).alias("text_score"))
 
 
 def sides(content: DataFrame, ident: str) -> DataFrame:

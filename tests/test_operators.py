@@ -409,3 +409,56 @@ def test_pairs_carry_keys_not_texts(spark):
     assert rows["a", "c"]["image_similarity"] == 0.9063 and rows["a", "c"]["code_similarity"] == 0.0 and rows["a", "c"]["code_lines"] == []
     assert cd["image_similarity"] == 0.0 and cd["image_matches"] == [] and cd["table_similarity"] == 0.0 and cd["table_matches"] == []
     assert cd["score"] == round(4 / (4 + 225), 4) and not cd["is_exact"] and rows["e", "f"]["score"] == 0.0
+
+
+def test_multimodal_pairs_of_texts_are_all_that_reach_the_floor(spark):
+    """Copies are compared like all others, and low similarities too, which bands of a signature often miss."""
+    from affinis.operators import multimodal as M
+    from affinis.operators import set_pairs
+
+    rng = random.Random(11)
+    texts = {}
+    for g in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        # the first words of the base, then words of its own: similarities from 0.05 to 0.9
+        texts |= {f"g{g:02}-{k:02}": " ".join(base[:k] + [f"o{rng.randrange(10**6)}" for _ in range(60 - k)]) for k in (60, 55, 45, 36, 28, 22, 18, 12)}
+    texts |= {f"copy-{i}": texts["g00-60"] for i in range(3)} | {f"cyrillic-{i}": "Привет мир" for i in range(3)} | {"few": "one two", "none": None, "blank": " "}
+    words = {i: (t or "").split() for i, t in texts.items() if not i.startswith("cyrillic")}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items() if w}
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    want = {p: j for p, j in alike.items() if j >= 0.15}
+    assert min(want.values()) < 0.25 and len(want) < len([j for j in alike.values() if j > 0])
+    same = {(f"cyrillic-{i}", f"cyrillic-{k}"): 1.0 for i in range(3) for k in range(i + 1, 3)}
+
+    items = spark.createDataFrame(list(texts.items()), "documentId string, text string")
+    images = spark.createDataFrame([], "imageId string, documentId string, sha256 string, dhash string")
+    got = {(r["a"], r["b"]): r["text_score"] for r in M.candidates(images, C.features(items, "documentId")).collect()}
+    assert got.keys() >= want.keys() | same.keys() and all(abs(got[p] - j) < 1e-12 for p, j in (want | same).items())
+    assert {p for p in got if p not in alike} == same.keys() and all(got[p] == j for p, j in alike.items() if p in got and j in (0.0, 1.0))
+
+    numbers = {i: n for n, i in enumerate(sets)}
+    rows = spark.createDataFrame([(numbers[i], [" ".join(x) for x in v]) for i, v in sets.items()] + [(-1, [])], "n long, vals array<string>")
+    exact = sorted(tuple(sorted((numbers[a], numbers[b]))) for a, b in want)
+    for tile, most in ((16384, 1 << 21), (9, 1 << 21), (16384, 700)):
+        assert sorted(tuple(sorted(r)) for r in set_pairs.overlapping(rows, "n", "vals", 0.15, tile, most).collect()) == exact
+    assert set_pairs.overlapping(rows.limit(0), "n", "vals", 0.15).count() == 0
+    with pytest.raises(ValueError):
+        set_pairs.overlapping(rows, "n", "vals", 0.0)
+
+
+def test_steps_of_set_pairs_are_bounded(monkeypatch):
+    """Whatever the counters and the values met of a step, the pairs are the same."""
+    import pyarrow as pa
+
+    from affinis.operators import set_pairs
+
+    rng = random.Random(3)
+    kind = pa.list_(pa.struct([("i", pa.int64()), ("v", pa.list_(pa.int32()))]))
+    sets = [set(rng.sample(range(40), rng.randrange(1, 20))) for _ in range(50)]
+    tiles = pa.array([[{"i": i, "v": list(s)} for i, s in enumerate(sets) if i % 2 == side] for side in (0, 1)], kind)
+    for x, y in ((0, 0), (0, 1), (1, 1)):
+        want = sorted((i, j) for i, s in enumerate(sets) for j, t in enumerate(sets) if i % 2 == x and j % 2 == y and (x != y or i < j) and len(s & t) >= 0.3 * len(s | t))
+        for counters, met in ((1 << 20, 1 << 22), (60, 1 << 22), (1 << 20, 1)):
+            monkeypatch.setattr(set_pairs, "COUNTERS", counters)
+            monkeypatch.setattr(set_pairs, "MET", met)
+            assert sorted((int(a), int(b)) for i, j in set_pairs._alike(tiles[x], tiles[y], x == y, 0.3) for a, b in zip(i, j)) == want
